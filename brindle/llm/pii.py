@@ -24,11 +24,11 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
 
 import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone", "url", "account")
 BASE_KINDS = KINDS[:4]
@@ -163,23 +163,21 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{start}:{end}" for start, k, end in spans)
 
 
+_ROW = ", ".join([*(f"n_{k} long" for k in BASE_KINDS), "base_sha256 string", "spans string"])
+
+
+def _describe(text: str | None) -> tuple:
+    spans = find_spans(text or "")
+    base = [s for s in spans if s[1] < len(BASE_KINDS)]
+    counts = [sum(s[1] == k for s in base) for k in range(len(BASE_KINDS))]
+    return (*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans))
+
+
 def detect(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Per row of *docs*: the id, counts by base kind, a digest of the base spans, all spans."""
-    spark_type = docs.schema[id_col].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for text in batch["text"]:
-                spans = find_spans(text) if text else []
-                base = [s for s in spans if s[1] < len(BASE_KINDS)]
-                counts = [0] * len(BASE_KINDS)
-                for s in base:
-                    counts[s[1]] += 1
-                rows.append((*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans)))
-            out = pd.DataFrame(rows, columns=[*(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans"])
-            out.insert(0, id_col, batch["id"].to_numpy())
-            yield out
-
-    columns = ", ".join([f"`{id_col}` {spark_type}", *(f"n_{k} long" for k in BASE_KINDS), "base_sha256 string", "spans string"])
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInPandas(run, columns)
+
+    @F.pandas_udf(_ROW)
+    def found(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_describe(t) for t in texts], columns=[*(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans"])
+
+    return docs.select(docs[id_col].alias(id_col), found(docs[text_col]).alias("found")).select(id_col, "found.*")

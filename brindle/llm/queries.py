@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pii, urlfilter
+from . import mixing, pii, secret_scan, tokenstore, urlfilter
 from .common import read_table
 
 
@@ -14,6 +14,22 @@ def op2_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(read_table(spark, sf_dir, "documents"))
 
 
+def op3_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    folder = tokenstore.new_folder(spark)
+    manifest = tokenstore.write(read_table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return tokenstore.documents(manifest, folder)
+
+
+def op4_secret_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(read_table(spark, sf_dir, "documents"))
+
+
+def op6_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read_table(spark, sf_dir, "documents")).drop("times")
+
+
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
 
@@ -24,6 +40,9 @@ def op9_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii_anchors": op2_pii_anchors,
+    "op3_token_planes": op3_token_planes,
+    "op4_secret_entropy": op4_secret_entropy,
+    "op6_cube_mix": op6_cube_mix,
     "op9_url_cascade": op9_url_cascade,
 }
 
