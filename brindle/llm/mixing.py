@@ -8,9 +8,9 @@ that is left. These fractions are rounded by balanced sampling: three units at a
 time move along the null space of (number of documents, number of words) until
 one of them becomes whole, so both totals keep their expectations exactly. Each
 block of a source leaves at most two units; those meet in blocks of their own,
-level by level, until one block per source is left. Its last units, a dozen of
-the smallest and at most two others, are landed together so that the words come
-closest to the target.
+level by level, until one block per source is left. A dozen of its units, of
+all sizes, are landed together with the last two, so that the words come closest
+to the target.
 
 Work is split by source and hashed block, so a source that holds most rows is
 many tasks. All draws are seeded by source, block and level: reruns agree.
@@ -124,11 +124,13 @@ def _drawing(seed: int, number: int, carry: Sequence[str]):
         part = part.sort_values(["size", *carry], ascending=False, kind="stable", na_position="last")
         sizes, chances = part["size"].astype(float).tolist(), part["part"].tolist()
         last = part["blocks"].iloc[0] == 1
-        # The last block of a source keeps some small units for the landing.
-        head = max(0, len(sizes) - LANDING_UNITS) if last else len(sizes)
-        front = chances[:head]
-        flight(sizes, front, random.Random(f"{seed}:{key[0]}:{key[1]}:{number}"))
-        chances[:head] = front
+        # The last block of a source keeps some units of all sizes for the landing.
+        kept = {round(i * (len(sizes) - 1) / (LANDING_UNITS - 1)) for i in range(LANDING_UNITS)} if last else set()
+        flown = [i for i in range(len(sizes)) if i not in kept]
+        moved = [chances[i] for i in flown]
+        flight([sizes[i] for i in flown], moved, random.Random(f"{seed}:{key[0]}:{key[1]}:{number}"))
+        for i, p in zip(flown, moved, strict=True):
+            chances[i] = p
         if last:
             land(sizes, chances)
         return part.assign(part=chances)
