@@ -5,11 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, pii, secret_scan, tokenstore, urlfilter
+from . import decontam, hamming, langid, minhash, mixing, pii, secret_scan, substring, tokenstore, urlfilter
 from .common import read_table
 
 
+def op1_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest vectors, by sign codes, of every vector whose id is divisible by 20."""
+    vectors = read_table(spark, sf_dir, "embeddings")
+    items = vectors.select(F.col("vec_id").alias("id"), hamming.sign_code(F.col("embedding")).alias("code"))
+    found = hamming.top_k(items, items.where("id % 20 = 0"), k=10)
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), F.col("id").alias("vec_id"), F.col("distance").cast("long").alias("distance"))
+
+
 def op2_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(read_table(spark, sf_dir, "documents"))
 
@@ -30,6 +39,24 @@ def op6_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents")).drop("times")
 
 
+def op5_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op7_minhash_bbit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+def op8_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents and all pages; the text model is fitted on labelled documents."""
+    docs, pages = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "pages")
+    model = langid.fit(docs)
+    none = F.lit(None).cast("long")
+    records = langid.document_records(docs, {"doc_id": F.col("doc_id"), "page_id": none})
+    records = records.unionByName(langid.page_records(pages, {"doc_id": none, "page_id": F.col("page_id")}))
+    return langid.identify(records, model, ["doc_id", "page_id"])
+
+
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
 
@@ -38,17 +65,36 @@ def op9_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.remove_repeats(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_hamming_topk": op1_hamming_topk,
     "op2_pii_anchors": op2_pii_anchors,
     "op3_token_planes": op3_token_planes,
     "op4_secret_entropy": op4_secret_entropy,
+    "op5_simhash_windows": op5_simhash_windows,
     "op6_cube_mix": op6_cube_mix,
+    "op7_minhash_bbit": op7_minhash_bbit,
+    "op8_language_fusion": op8_language_fusion,
     "op9_url_cascade": op9_url_cascade,
+    "op10_block_anchors": op10_block_anchors,
 }
 
 _LABELS = "|".join(urlfilter.LISTED_LABELS)
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_hamming_topk": """
+WITH v AS (
+  SELECT vec_id, array_to_string(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '')::BIT AS code FROM embeddings WHERE embedding IS NOT NULL
+), d AS (
+  SELECT q.vec_id AS query_id, v.vec_id, CAST(bit_count(xor(q.code, v.code)) AS BIGINT) AS distance FROM v AS q JOIN v ON q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank, vec_id, distance FROM d
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) <= 10
+""",
     "op9_url_cascade": f"""
 WITH u AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
