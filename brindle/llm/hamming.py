@@ -59,11 +59,19 @@ def _piece(code: Column, segment: tuple[int, int]) -> Column:
     return F.shiftrightunsigned(code, shift).bitwiseAND(F.lit((1 << width) - 1).cast("long")).cast("int")
 
 
+#: Probes per query and segment up to which a radius is searched in all segments at once.
+CHEAP_PROBES = 1000
+
+
 def _plan(cut: list[tuple[int, int]]) -> list[dict[int, int]]:
     """The radii to reach, step by step: whole rounds while they are cheap, then segment by segment."""
-    steps = [{s: 2 for s in range(len(cut))}, {s: 3 for s in range(len(cut))}]
-    for radius in range(4, max(w for _, w in cut) + 1):
-        steps += [{s: radius} for s in range(len(cut)) if cut[s][1] >= radius]
+    steps = [{s: 2 for s in range(len(cut))}]
+    for radius in range(3, max(w for _, w in cut) + 1):
+        wide = [s for s in range(len(cut)) if cut[s][1] >= radius]
+        if max(math.comb(cut[s][1], radius) for s in wide) <= CHEAP_PROBES:
+            steps.append(dict.fromkeys(wide, radius))
+        else:
+            steps += [{s: radius} for s in wide]
     return steps
 
 
@@ -90,7 +98,7 @@ def top_k(items: DataFrame, queries: DataFrame, k: int, bits: int = 64) -> DataF
     finished: list[DataFrame] = []
     reached = [-1] * len(cut)
     for number, step in enumerate(_plan(cut)):
-        probes, met = None, F.lit(False)
+        probes = None
         for s, radius in step.items():
             part = active.select("code", "bound", F.lit(s).alias("segment"), F.explode(masks(cut[s][1], reached[s] + 1, radius)).alias("mask"))
             probes = part if probes is None else probes.unionAll(part)
