@@ -197,9 +197,16 @@ def take(docs: DataFrame, source_col: str = "source", text_col: str = "text", **
     keyed = docs.withColumn("__key", F.xxhash64(*docs.columns))
     mixed = mix(keyed, source_col=source_col, size=word_count(F.col(text_col)), carry=["__key"], **options)
     drawn = mixed.groupBy("__key").agg(F.sum("times").alias("__times"), F.count("*").alias("__copies")).where("__times > 0")
+    drawn = stored(drawn, f"{work_dir(docs.sparkSession)}/drawn")
     met = keyed.join(drawn, "__key")
+    if drawn.where("__copies > 1").isEmpty():
+        return _repeated(met, docs.columns)
     rank = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))
     several = met.where("__copies > 1").withColumn("__rank", rank)
     several = several.withColumn("__times", F.expr("__times div __copies") + (F.col("__rank") <= F.expr("__times % __copies")).cast("long")).drop("__rank")
     every = met.where("__copies = 1").unionByName(several).where("__times > 0")
-    return every.withColumn("__rank", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(*docs.columns)
+    return _repeated(every, docs.columns)
+
+
+def _repeated(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.withColumn("__rank", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(*columns)
