@@ -10,8 +10,9 @@
    each class confirms its best leader on the full sets, and components form.
 3. In every bucket that still holds more than one component, all pairs across
    components are estimated (blockwise; large buckets are split among tasks) and
-   the surviving ones confirmed on the full sets. Pairs inside a component can't
-   change the result, so nothing is lost by leaving them out.
+   those that survive are confirmed on the full sets, in the task that met them.
+   Pairs inside a component can't change the result, so nothing is lost by leaving
+   them out; only links that join components leave a task.
 
 With the values below a pair at similarity 0.75 shares no band with probability
 2e-5, at 0.8 with probability 1e-7.
@@ -44,7 +45,7 @@ PLANE_WORDS = -(-HASHES // 64)
 #: The estimate's standard deviation at the threshold is 0.037.
 SLACK = 0.16
 #: Rows of a bucket that are compared with one another in one task.
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 2048
 
 _seeds = mix64(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _MUL = (_seeds >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -155,46 +156,101 @@ def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return met.where(confirm("left", "right")).select("a", "b")
 
 
-def _across(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of ids in one group, of different components, whose estimate suffices.
+def _groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of each value of ``grp``, from batches in the order of ``grp``."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        cuts = np.flatnonzero(batch["grp"].to_numpy()[1:] != batch["grp"].to_numpy()[:-1]) + 1
+        for start, stop in zip([0, *cuts], [*cuts, len(batch)], strict=True):
+            part = batch.iloc[start:stop]
+            if held and held[0]["grp"].iloc[0] != part["grp"].iloc[0]:
+                yield pd.concat(held) if len(held) > 1 else held[0]
+                held = []
+            held.append(part)
+    if held:
+        yield pd.concat(held) if len(held) > 1 else held[0]
 
-    *rows*: grp, side, id, component, planes. Within a group rows of side 0 meet
-    one another and rows of side 1 meet those of side 2.
-    """
 
-    def flush(rows: list, a: list, b: list) -> None:
-        if len(rows) < 2:
-            return
-        ids, comps, sides = (np.array([r[i] for r in rows], np.int64) for i in (0, 1, 3))
-        planes = np.stack([np.asarray(r[2], np.int64) for r in rows]).view(np.uint64).reshape(len(rows), BITS, PLANE_WORDS)
-        for i in range(len(rows)):
-            others = slice(i + 1, None)
-            apart = planes[others] ^ planes[i]
-            agree = HASHES - np.bitwise_count(np.bitwise_or.reduce(apart, axis=1)).sum(axis=1, dtype=np.int64)
-            side = sides[others]
-            good = (agree >= NEEDED) & (comps[others] != comps[i]) & ((side == 0) if sides[i] == 0 else (side + sides[i] == 3))
-            found = ids[others][good]
-            a.append(np.minimum(found, ids[i]))
-            b.append(np.maximum(found, ids[i]))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, held = None, []
-        for batch in batches:
-            a: list[np.ndarray] = []
-            b: list[np.ndarray] = []
-            for g, i, c, p, s in zip(batch["grp"], batch["id"], batch["component"], batch["planes"], batch["side"], strict=True):
-                if g != group:
-                    flush(held, a, b)
-                    group, held = g, []
-                held.append((i, c, p, s))
-            if a:
-                yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).drop_duplicates()
+def _candidates(group: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row the later rows of other components that may be linked with it.
+
+    Rows of side 0 meet one another and rows of side 1 meet those of side 2. A pair
+    is looked at in the first band that its two rows share, and nowhere else.
+    """
+    comps, sides, band = group["component"].to_numpy(), group["side"].to_numpy(), group["band"].iloc[0]
+    planes = np.stack(group["planes"].to_list()).view(np.uint64).reshape(len(group), BITS, PLANE_WORDS)
+    bands = np.stack(group["bands"].to_list())
+    before = np.arange(BANDS) < np.flatnonzero(bands[0] == band)[0]
+    for i in range(len(group) - 1):
+        good = comps[i + 1 :] != comps[i]
+        good &= (sides[i + 1 :] == 0) if sides[i] == 0 else (sides[i + 1 :] + sides[i] == 3)
+        at = np.flatnonzero(good) + i + 1
+        if at.size:
+            apart = np.bitwise_or.reduce(planes[at] ^ planes[i], axis=1)
+            at = at[HASHES - np.bitwise_count(apart).sum(axis=1, dtype=np.int64) >= NEEDED]
+            at = at[~(bands[at][:, before] == bands[i][before]).any(axis=1)]
+        if at.size:
+            yield i, at
+
+
+def _promising(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows that have a candidate in their group."""
+    for group in _groups(batches):
+        seen = np.zeros(len(group), bool)
+        for i, at in _candidates(group):
+            seen[i] = True
+            seen[at] = True
+        if seen.any():
+            yield group[["grp", "id"]][seen]
+
+
+def _joining(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Links (a, b), confirmed on the full sets, that join components of a group.
+
+    A pair whose rows are joined already isn't looked at, so a group gives fewer
+    links than it has rows.
+    """
+    for group in _groups(batches):
+        ids, comps = group["id"].to_numpy(), group["component"].to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in group["shingles"]]
+        sizes = np.array([len(x) for x in sets])
+        known, local = np.unique(np.concatenate(sets), return_inverse=True)
+        starts = np.cumsum(sizes) - sizes
+        marked = np.zeros(len(known), bool)
+        roots = comps.copy()
         a, b = [], []
-        flush(held, a, b)
+        for i, at in _candidates(group):
+            at = at[roots[at] != roots[i]]
+            if not at.size:
+                continue
+            own = local[starts[i] : starts[i] + sizes[i]]
+            marked[own] = True
+            hits = marked[np.concatenate([local[starts[j] : starts[j] + sizes[j]] for j in at])]
+            both = np.add.reduceat(hits.astype(np.int64), np.cumsum(sizes[at]) - sizes[at])
+            marked[own] = False
+            for j in at[100 * both >= THRESHOLD * (sizes[i] + sizes[at] - both)]:
+                if roots[j] != roots[i]:
+                    roots[roots == roots[j]] = roots[i]
+                    a.append(ids[i])
+                    b.append(ids[j])
         if a:
-            yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).drop_duplicates()
+            yield pd.DataFrame({"a": a, "b": b})
+
+
+def _across(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between components: *rows* are grp, band, side, id, component, planes, bands."""
+
+    @F.pandas_udf("binary")
+    def shingles(column: pd.Series) -> pd.Series:
+        return pd.Series([s.tobytes() for begin in range(0, len(column), 64) for s in shingle_sets(column.iloc[begin : begin + 64].tolist())])
+
+    def in_order(df: DataFrame) -> DataFrame:
+        return df.repartition("grp").sortWithinPartitions("grp")
 
-    return rows.repartition("grp").sortWithinPartitions("grp").select("grp", "id", "component", "planes", "side").mapInPandas(run, "a long, b long").distinct()
+    promising = in_order(rows).mapInPandas(_promising, "grp long, id long")
+    sets = texts.join(promising.select("id").distinct(), "id", "left_semi").select("id", shingles("text").alias("shingles"))
+    met = rows.join(promising, ["grp", "id"]).join(sets, "id")
+    return in_order(met).mapInPandas(_joining, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -232,16 +288,16 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     # What is left: pairs of different components in one bucket.
     placed = members.select("id", "band", "n").join(found, members["id"] == found["node"], "left").select("id", "band", "n", F.coalesce("component", "id").alias("component"))
     open_ = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
-    left = placed.join(open_, "band").join(planes, "id")
-    small = left.where(F.col("n") <= BUCKET_ROWS).select(F.col("band").alias("grp"), F.lit(0).alias("side"), "id", "component", "planes")
+    left = placed.join(open_, "band").join(heads, "id").select("id", "band", "n", "component", "planes", "bands")
+    small = left.where(F.col("n") <= BUCKET_ROWS).select(F.col("band").alias("grp"), "band", F.lit(0).alias("side"), "id", "component", "planes", "bands")
     # Large buckets: blocks of rows meet in pairs, so no task holds more than two.
     split = left.where(F.col("n") > BUCKET_ROWS).withColumn("blocks", F.ceil(F.col("n") * 2 / BUCKET_ROWS).cast("int"))
     split = split.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2)
-    split = split.select(F.xxhash64("band", F.least("block", "other"), F.greatest("block", "other")).alias("grp"), side.alias("side"), "id", "component", "planes")
-    rest = stored(_across(small.unionByName(split)), f"{folder}/rest")
-    more = stored(_linked(rest.join(pairs, ["a", "b"], "left_anti"), texts), f"{folder}/links2")
+    split = split.select(F.xxhash64("band", F.least("block", "other"), F.greatest("block", "other")).alias("grp"), "band", side.alias("side"), "id", "component", "planes", "bands")
+    rest = stored(small.unionByName(split), f"{folder}/rest")
+    more = stored(_across(rest, texts), f"{folder}/links2")
     if not more.isEmpty():
         found = stored(components(links.unionByName(more), f"{folder}/components2"), f"{folder}/found2")
 
