@@ -45,7 +45,7 @@ BLOCK_IDS = 1 << 16
 #: A task begins another file after this many ids.
 SHARD_IDS = 1 << 26
 #: Words whose ids a worker keeps; twice as many at most are held.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 300_000
 
 
 # ------------------------------------------------------------------ encoding
@@ -64,26 +64,49 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         words = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-        missing = list(set().union(*words).difference(self.young))
-        fresh = [w for w in missing if w not in self.old]
+        every = set().union(*words)
+        missing = every.difference(self.young)
         if len(self.young) + len(missing) > CACHE_WORDS:
-            known = {w: self.old[w] for w in missing if w in self.old}
-            known |= {w: self.young[w] for w in set().union(*words).intersection(self.young)}
-            self.old, self.young = self.young, known
-        else:
-            self.young |= {w: self.old[w] for w in missing if w in self.old}
-        for i in range(0, len(fresh), 4096):
-            part = fresh[i : i + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in part], add_special_tokens=False), strict=True):
-                self.young[w] = np.array(e.ids, "<u4").tobytes()
+            self.old, self.young, missing = self.young, {}, every
+        known = missing.intersection(self.old)
+        self.young |= {w: self.old[w] for w in known}
+        self._learn(list(missing.difference(known)))
         get = self.young.__getitem__
         return [np.frombuffer(b"".join(map(get, ws)), "<u4") for ws in words]
 
+    def _learn(self, words: list[bytes]) -> None:
+        """Encode words: those of letters, with a mark behind or not, many in one text,
+        which is cut where ids end words; all others, and texts whose cuts don't add up,
+        word by word."""
+        texts = [w.decode("utf-8", "surrogatepass") for w in words]
+        ends = [1 if t.isalpha() else 2 if t[-1] in ".,;:!?" and t[:-1].isalpha() else 0 for t in texts]
+        plain = [i for i, n in enumerate(ends) if n]
+        single = [i for i, n in enumerate(ends) if not n]
+        chunks = [plain[i : i + 2000] for i in range(0, len(plain), 2000)]
+        for chunk, e in zip(chunks, self.tokenizer.encode_batch_fast([" ".join([texts[i] for i in c]) for c in chunks], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            stops = np.flatnonzero(self.ends_word[ids]) + 1
+            upto = np.cumsum([ends[i] for i in chunk])
+            if len(stops) != upto[-1]:
+                single += chunk
+                continue
+            cuts, raw, at = (stops[upto - 1] * 4).tolist(), ids.tobytes(), 0
+            for i, cut in zip(chunk, cuts, strict=True):
+                self.young[words[i]] = raw[at:cut]
+                at = cut
+        for begin in range(0, len(single), 4096):
+            part = single[begin : begin + 4096]
+            for i, e in zip(part, self.tokenizer.encode_batch_fast([texts[i] for i in part], add_special_tokens=False), strict=True):
+                self.young[words[i]] = np.array(e.ids, "<u4").tobytes()
+
 
 _encoders: dict[str, WordEncoder] = {}
 
