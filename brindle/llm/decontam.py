@@ -129,7 +129,8 @@ def find(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col:
     index = index.withColumn("flip", F.explode(flips)).select("item_id", "length", "item_print", "block", F.col("value").bitwiseXOR(F.col("flip")).alias("value"))
     probes = prints.select("key", "length", "print", F.posexplode(F.array(*[block(F.col("print"), b) for b in range(BLOCKS)])).alias("block", "value"))
     near = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS
-    candidates = probes.join(index, ["length", "block", "value"]).where(near).select("key", "length", "item_id").distinct()
+    # Spark doesn't foresee how many rows the flips make, and might broadcast them.
+    candidates = probes.hint("merge").join(index, ["length", "block", "value"]).where(near).select("key", "length", "item_id").distinct()
 
     weighed = candidates.join(prints.select("key", "length", "shingles"), ["key", "length"]).join(items.select("item_id", "item_shingles"), "item_id")
     weighed = weighed.withColumn("shared", shared_weight(F.col("shingles"), F.col("item_shingles")))
