@@ -102,9 +102,12 @@ class Work:
     def _rewrite(self, table: str, hit: Column, change: Callable[[DataFrame], DataFrame]) -> None:
         """Write anew those folders of *table* that hold rows with *hit*."""
         self.touched.add(table)
-        info, kept, stale = self.info(table), [], []
-        for folder in self.at(table):
-            (kept if self.storage.read([folder], info.schema).where(hit).isEmpty() else stale).append(folder)
+        info = self.info(table)
+        # Which folders these are is told by one job, a name for each.
+        folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+        names = {r[0] for r in self.storage.read(self.at(table), info.schema).where(hit).select(folder).distinct().collect()} if self.at(table) else set()
+        stale = [f for f in self.at(table) if f.rsplit("/", 1)[-1] in names]
+        kept = [f for f in self.at(table) if f not in stale]
         if stale:
             kept.append(self._write(table, change(self.storage.read(stale, info.schema))))
         self.folders[table] = kept

@@ -51,6 +51,21 @@ class Engine:
         self._session = self._session or self.session()
         return self._session.sql(text, params)
 
+    def compact(self, table: str) -> None:
+        """Write *table* as one folder; of use after many small INSERTs."""
+        work = Work(self.storage, self.catalog.latest())
+        before = work.at(table)
+        if len(before) < 2:
+            return
+        folder = self.storage.write(table, work.read(table), work.manifest.sort_columns(table))
+
+        def change(m) -> None:
+            if table not in m.tables or m.tables[table].folders != before:
+                raise Conflict(f"Transaction Aborted: '{table}' was changed by another transaction")
+            m.tables[table].folders = [folder]
+
+        self.catalog.commit(change)
+
     def register(self, name: str, df: DataFrame) -> None:
         """Create the table *name* from a DataFrame, without constraints."""
         kinds = {"boolean": "BOOLEAN", "tinyint": "TINYINT", "smallint": "SMALLINT", "int": "INTEGER", "bigint": "BIGINT", "float": "DOUBLE", "double": "DOUBLE", "string": "VARCHAR", "timestamp_ntz": "TIMESTAMP", "timestamp": "TIMESTAMP", "date": "DATE"}
