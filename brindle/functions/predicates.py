@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -15,11 +16,31 @@ def _pattern(pattern: str | Column) -> Column:
     return F.replace(pattern, F.lit("\\"), F.lit("\\\\"))
 
 
+def _without_backtracking(pattern: str) -> str | None:
+    """A regular expression for patterns with several inner parts.
+
+    Each inner part may be taken where it is found first, so atomic groups lose no
+    match, and the time is linear where plain LIKE would try all combinations.
+    """
+    first, *inner, last = pattern.split("%") if "%" in pattern else (pattern, "")
+    if len(inner) < 3:
+        return None
+
+    def piece(text: str) -> str:
+        return "".join("." if c == "_" else re.escape(c) for c in text)
+
+    return rf"(?s)\A{piece(first)}" + "".join(f"(?>.*?{piece(p)})" for p in inner if p) + rf".*{piece(last)}\z"
+
+
 def like(value: Column, pattern: str | Column) -> Column:
+    if isinstance(pattern, str) and (regex := _without_backtracking(pattern)):
+        return F.rlike(value, F.lit(regex))
     return F.like(value, _pattern(pattern))
 
 
 def ilike(value: Column, pattern: str | Column) -> Column:
+    if isinstance(pattern, str) and (regex := _without_backtracking(pattern.lower())):
+        return F.rlike(F.lower(value), F.lit(regex))
     return F.ilike(value, _pattern(pattern))
 
 

@@ -95,10 +95,15 @@ def test_like_has_no_escape(run):
 
 
 def test_like_many_wildcards(spark):
-    tables = {"t": spark.createDataFrame([("a" * 300 + "b",)], "s string")}
-    pattern = "%a" * 40
+    tables = {"t": spark.createDataFrame([("a" * 5000 + "b",), (None,)], "s string")}
     low = Lowering(spark, tables.get)
-    assert low.query(parse(f"SELECT COUNT(*) FROM t WHERE s LIKE '{pattern}%b'")).first()[0] == 1
+
+    def count(pattern, op="LIKE"):
+        return low.query(parse(f"SELECT COUNT(*) FROM t WHERE s {op} '{pattern}'")).first()[0]
+
+    assert count("%a" * 1000 + "%b") == 1 and count("%A" * 1000 + "%B", "ILIKE") == 1
+    assert count("%a" * 1000 + "%c") == 0 and count("%a" * 1000 + "%b", "NOT LIKE") == 0
+    assert count("a%a_a%a%a%_b") == 1 and count("b%a%a%a%b") == 0
 
 
 def test_strings(run):
