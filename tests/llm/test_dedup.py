@@ -88,7 +88,9 @@ def test_word_and_window_hashes():
     for width in (2, 5, 9, 25):
         w = np.tile(h, 10)
         found = window_hashes(w, width)
-        assert len(found) == len(w) - width + 1 and (found[:9] == found[9:18]).all() and len(set(found.tolist())) == 9
+        tuples = list(zip(*[(own * 10)[k:] for k in range(width)], strict=False))
+        assert len(found) == len(w) - width + 1 == len(tuples)
+        assert len(set(zip(tuples, found.tolist(), strict=True))) == len(set(tuples)) == len(set(found.tolist()))
 
 
 def test_components(spark):
