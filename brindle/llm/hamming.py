@@ -115,7 +115,8 @@ def top_k(items: DataFrame, queries: DataFrame, k: int, bits: int = 64) -> DataF
                     new = new & ((F.col("seg") != s) | (far[before] > step[before]))
         distance = F.bit_count(apart)
         meets = (F.col("seg") == F.col("segment")) & (F.col("key") == F.col("piece")) & new & (distance <= F.col("bound"))
-        found = probes.join(index, meets).select("code", "other", distance.alias("distance"), "copies", "first")
+        # Spark takes the probes for as few as the queries and would broadcast them.
+        found = probes.hint("merge").join(index, meets).select("code", "other", distance.alias("distance"), "copies", "first")
         met = found if best is None else found.unionByName(best)
         order = Window.partitionBy("code").orderBy("distance", "first")
         so_far = Window.partitionBy("code").orderBy("distance", "first").rowsBetween(Window.unboundedPreceding, -1)
