@@ -9,7 +9,8 @@ lies below that sum. Only then is its answer taken; the result is exact.
 
 Equal codes are one entry that keeps its k smallest ids, so a vector that fills
 much of the table is one candidate. A candidate is verified where it is met and
-passed on only if it can still enter the query's top k.
+passed on only if it can still enter the query's top k: fewer items than are needed
+are nearer, and fewer codes come before it by (distance, smallest id).
 
 Answers are ordered by (distance, id); items of the query's own id are left out.
 Edge cases: a null vector has no code and is neither found nor answered; missing
@@ -81,7 +82,7 @@ def top_k(items: DataFrame, queries: DataFrame, k: int, bits: int = 64) -> DataF
     folder = work_dir(spark)
     items = items.where("code is not null and id is not null").select("id", "code").distinct()
     most = items.groupBy("id").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(1))).first()[0]
-    need = k + most  # the query's own rows may be among the nearest
+    need = (k + 1) * most  # rows that surely hold k ids besides the query's own
     by_id = Window.partitionBy("code").orderBy("id")
     members = stored(items.withColumn("place", F.row_number().over(by_id)).where(F.col("place") <= need), f"{folder}/members")
     codes = stored(members.groupBy("code").agg(F.count("*").alias("copies"), F.min("id").alias("first")), f"{folder}/codes")
@@ -119,9 +120,10 @@ def top_k(items: DataFrame, queries: DataFrame, k: int, bits: int = 64) -> DataF
         found = probes.hint("merge").join(index, meets).select("code", "other", distance.alias("distance"), "copies", "first")
         met = found if best is None else found.unionByName(best)
         order = Window.partitionBy("code").orderBy("distance", "first")
-        so_far = Window.partitionBy("code").orderBy("distance", "first").rowsBetween(Window.unboundedPreceding, -1)
+        # Only what is nearer goes before every copy of a code: at equal distance the copies of several codes interleave by id.
+        nearer = Window.partitionBy("code").orderBy("distance").rangeBetween(Window.unboundedPreceding, -1)
         kept = met.withColumn("place", F.row_number().over(order)).where(F.col("place") <= need).drop("place")
-        kept = kept.withColumn("before", F.coalesce(F.sum("copies").over(so_far), F.lit(0)).cast("long")).where(F.col("before") < need)
+        kept = kept.withColumn("before", F.coalesce(F.sum("copies").over(nearer), F.lit(0)).cast("long")).where(F.col("before") < need)
         for s, radius in step.items():
             reached[s] = min(radius, cut[s][1])
         covered = sum(r + 1 for r in reached)

@@ -28,6 +28,25 @@ def test_top_k_is_exact(spark, bits, n):
         assert sorted((r["rank"], r.distance, r.id) for r in out if r.query_id == q) == [(k + 1, *w) for k, w in enumerate(want)]
 
 
+@pytest.mark.parametrize("k", [1, 4, 10])
+def test_top_k_of_interleaved_copies(spark, k):
+    """Codes at one distance whose copies' ids interleave, and ids with several vectors."""
+    rng = random.Random(k)
+    cases = [[(i, 1 << i) for i in range(1, 9)] + [(1000 + i, 1 << i) for i in range(1, 9)]]
+    cases.append([(i, 1) for i in range(0, 900, 3)] + [(i, 2) for i in range(1, 60, 7)] + [(i, 12) for i in range(2, 40, 5)])
+    cases.append([(rng.randrange(60), rng.choice([1, 2, 4, 3, 6, 7])) for _ in range(200)])
+    for rows in cases:
+        items = spark.createDataFrame(rows, "id long, code long")
+        out = hamming.top_k(items, spark.createDataFrame([(5000, 0), (3, 1)], "id long, code long"), k=k).collect()
+        for query, code in [(5000, 0), (3, 1)]:
+            nearest: dict[int, int] = {}
+            for i, c in rows:
+                if i != query:
+                    nearest[i] = min(nearest.get(i, 64), (c ^ code).bit_count())
+            want = sorted((d, i) for i, d in nearest.items())[:k]
+            assert sorted((r["rank"], r.distance, r.id) for r in out if r.query_id == query) == [(n + 1, *w) for n, w in enumerate(want)]
+
+
 def test_top_k_small_tables(spark):
     items = spark.createDataFrame([(0, 5), (20, 5), (3, None)], "id long, code long")
     out = hamming.top_k(items, items, k=10).collect()
