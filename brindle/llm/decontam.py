@@ -4,10 +4,11 @@ A document is contaminated by an item if some window of the item's length has a
 weighted shingle similarity (multiset Jaccard, shared / total counts) of at least
 ``THRESHOLD`` per cent with it.
 
-1. *Item-sized windows.* A window without a shingle of the item has similarity
-   zero, so windows are laid only where a document and an item share a shingle, with
-   the item's beginning in line (one window for each run of shared shingles), and
-   equal windows are looked at once.
+1. *Item-sized windows.* A window of n shingles reaches the threshold only if at
+   least 6/7 of them are shared with an item of its length, so it begins at a shared
+   shingle or at most n/7 words before the first of a run of shared ones. Every window
+   that begins there is laid, in whatever order it holds the item's parts; a document
+   shorter than the item is laid whole. Equal windows are looked at once.
 2. *SimHash and multi-index Hamming blocks.* Windows and items of one length are
    fingerprinted over their shingle multisets. Fingerprints within ``RADIUS`` bits
    agree in some block up to ``RADIUS // BLOCKS`` bits (pigeonhole), so every block
@@ -90,16 +91,22 @@ def benchmark_items(benchmark: DataFrame, text_col: str, item_col: str) -> DataF
 
 
 def _windows(rows: DataFrame, starts: DataFrame) -> DataFrame:
-    """id, length, at, window: where a run of shingles shared with an item begins."""
+    """id, length, at, window: all windows that begin where one that reaches the threshold can."""
     each = rows.select("id", "words", F.posexplode("words").alias("pos", "word")).where(F.col("pos") <= F.size("words") - SHINGLE)
     each = each.withColumn("shingle", _shingle_at(F.col("words"), F.col("pos")))
+    met = each.join(F.broadcast(starts), F.col("shingle") == F.col("item_shingle"))
     before = F.when(F.col("pos") > 0, _shingle_at(F.col("words"), F.col("pos") - 1))
-    # Within a run the shingle before agrees as well; only the run's first is of use.
-    first = F.col("item_before").isNull() | before.isNull() | (F.col("item_before") != before)
-    met = each.join(F.broadcast(starts), (F.col("shingle") == F.col("item_shingle")) & first)
-    at = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("offset"), F.size("words") - F.col("length")))
-    met = met.withColumn("at", at)
-    return met.select("id", "length", "at", F.slice("words", F.col("at") + 1, F.col("length")).alias("window"))
+    # Behind a shared shingle only the window that begins here is new.
+    first = before.isNull() | ~F.array_contains("item_befores", before)
+    n = F.col("length") - (SHINGLE - 1)
+    foreign = F.floor(n * (100 - THRESHOLD) / (100 + THRESHOLD)).cast("int")
+    end = F.size("words") - F.col("length")  # the last window's beginning
+    low = F.when(first, F.greatest(F.lit(0), F.col("pos") - foreign)).otherwise(F.col("pos"))
+    met = met.withColumn("low", F.when(end > 0, low).when(first, F.lit(0))).withColumn("high", F.greatest(F.lit(0), F.least(F.col("pos"), end)))
+    met = met.where(F.col("low") <= F.col("high"))
+    met = met.select("id", "length", "low", F.col("high") - F.col("low"), F.slice("words", F.col("low") + 1, F.col("high") - F.col("low") + F.col("length"))).toDF("id", "length", "low", "more", "piece")
+    met = met.withColumn("skip", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("more")))))
+    return met.select("id", "length", (F.col("low") + F.col("skip")).alias("at"), F.slice("piece", F.col("skip") + 1, F.col("length")).alias("window"))
 
 
 def find(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "doc_id", item_text_col: str = "text", item_col: str = "item_id") -> DataFrame:
@@ -109,7 +116,8 @@ def find(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col:
     folder = work_dir(spark)
     items = stored(benchmark_items(benchmark, item_text_col, item_col), f"{folder}/items")
     starts = items.select("length", F.posexplode("item_shingles").alias("offset", "item_shingle"), "item_shingles")
-    starts = starts.withColumn("item_before", F.when(F.col("offset") > 0, F.get("item_shingles", F.col("offset") - 1))).drop("item_shingles").distinct()
+    item_before = F.when(F.col("offset") > 0, F.get("item_shingles", F.col("offset") - 1))
+    starts = starts.groupBy("length", "item_shingle").agg(F.collect_set(item_before).alias("item_befores"))
     starts = stored(starts, f"{folder}/starts")
     rows = docs.select(docs[id_col].alias("id"), words_of(docs[text_col]).alias("words"))
     chunks = max(1, -(-starts.count() // CHUNK_SHINGLES))

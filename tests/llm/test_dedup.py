@@ -160,6 +160,30 @@ def test_decontamination(spark):
     assert decontam.find(docs.where("false"), benchmark).collect() == [] and decontam.find(docs, benchmark.where("false")).collect() == []
 
 
+def test_decontamination_of_rotated_items(spark):
+    """The item's parts exchanged, at the beginning, within and at the end of a text; the best window's place."""
+    rng = random.Random(4)
+    items = [(n, [f"i{n}x{k}" for k in range(n)]) for n in (5, 20, 40, 41, 60)] + [(99, [f"i40x{k}" for k in range(40)][::-1])]
+    rows = []
+    for n, item in items:
+        for cut in {n // 2, n // 5, n - 6}:
+            for left, right in [(60, 60), (0, 9), (9, 0), (0, 0), (2, 2)]:
+                moved = edited(rng, " ".join(item[cut:] + item[:cut]), rng.randrange(2))
+                rows.append((len(rows), " ".join([prose(rng, left), moved, prose(rng, right)]).strip()))
+        rows += [(len(rows) + j, " ".join([*item[j:], prose(rng, j + 3)])) for j in range(4)]
+        rows += [(len(rows) + j, " ".join([prose(rng, 8), *item[: n // 2], *["new"] * j, *item[n // 2 :]])) for j in range(4)]
+    texts = [(i, " ".join(t)) for i, t in items]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontam.find(docs, spark.createDataFrame(texts, "item_id long, text string")).collect()}
+    want = contamination(rows, texts)
+    assert set(got) == set(want) and len(want) > 60
+    for (d, i), r in got.items():
+        assert abs(r.similarity - want[d, i]) < 1e-9
+        w, n = words(rows[d][1], True), dict(items)[i]
+        alone = [contamination([(0, " ".join(w[k : k + len(n)]))], [(0, " ".join(n))]).get((0, 0), 0) for k in range(max(1, len(w) - len(n) + 1))]
+        assert r["at"] == alone.index(max(alone))
+
+
 def test_decontamination_in_chunks(spark, monkeypatch):
     monkeypatch.setattr(decontam, "CHUNK_SHINGLES", 7)
     items = [(i, " ".join(f"{i}x{k}" for k in range(12))) for i in range(4)]
