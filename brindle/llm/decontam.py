@@ -23,7 +23,8 @@ at most ``CHUNK_SHINGLES``, one pass over the documents for each.
 Edge cases: words are runs of other than ASCII white space with A-Z lower-cased; an
 item of fewer than five words is no evidence and never matches; a document shorter
 than an item is one window; null and empty texts match nothing; repeated rows of
-one id give one row; empty tables give no rows.
+one id give one row; items without an id are found as well and count as one item of
+a null id; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -84,9 +85,11 @@ def shared_weight(a: Column, b: Column) -> Column:
 
 
 def benchmark_items(benchmark: DataFrame, text_col: str, item_col: str) -> DataFrame:
-    """item_id, length in words, shingles and fingerprint of every usable item."""
+    """item_id, item_key, length in words, shingles and fingerprint of every usable item."""
     items = benchmark.select(benchmark[item_col].alias("item_id"), words_of(benchmark[text_col]).alias("words")).where(F.size("words") >= SHINGLE)
     items = items.select("item_id", F.size("words").alias("length"), shingles_of(F.col("words")).alias("item_shingles"))
+    # The key is that of the words and length: item ids may be null.
+    items = items.withColumn("item_key", F.xxhash64("item_shingles", "length"))
     return items.withColumn("item_print", simhash(F.col("item_shingles")))
 
 
@@ -133,14 +136,15 @@ def find(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col:
     prints = stored(prints.withColumn("print", simhash(F.col("shingles"))), f"{folder}/prints")
     flips = [sum(1 << i for i in c) for r in range(RADIUS // BLOCKS + 1) for c in combinations(range(BLOCK_BITS), r)]
     flips = F.split(F.lit(",".join(map(str, flips))), ",").cast("array<int>")
-    index = items.select("item_id", "length", "item_print", F.posexplode(F.array(*[block(F.col("item_print"), b) for b in range(BLOCKS)])).alias("block", "value"))
-    index = index.withColumn("flip", F.explode(flips)).select("item_id", "length", "item_print", "block", F.col("value").bitwiseXOR(F.col("flip")).alias("value"))
+    own = items.select("item_key", "length", "item_print").distinct()
+    index = own.select("item_key", "length", "item_print", F.posexplode(F.array(*[block(F.col("item_print"), b) for b in range(BLOCKS)])).alias("block", "value"))
+    index = index.withColumn("flip", F.explode(flips)).select("item_key", "length", "item_print", "block", F.col("value").bitwiseXOR(F.col("flip")).alias("value"))
     probes = prints.select("key", "length", "print", F.posexplode(F.array(*[block(F.col("print"), b) for b in range(BLOCKS)])).alias("block", "value"))
     near = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS
     # Spark doesn't foresee how many rows the flips make, and might broadcast them.
-    candidates = probes.hint("merge").join(index, ["length", "block", "value"]).where(near).select("key", "length", "item_id").distinct()
+    candidates = probes.hint("merge").join(index, ["length", "block", "value"]).where(near).select("key", "length", "item_key").distinct()
 
-    weighed = candidates.join(prints.select("key", "length", "shingles"), ["key", "length"]).join(items.select("item_id", "item_shingles"), "item_id")
+    weighed = candidates.join(prints.select("key", "length", "shingles"), ["key", "length"]).join(items.select("item_id", "item_key", "item_shingles").distinct(), "item_key")
     weighed = weighed.withColumn("shared", shared_weight(F.col("shingles"), F.col("item_shingles")))
     weighed = weighed.withColumn("total", F.size("shingles") + F.size("item_shingles") - F.col("shared"))
     weighed = weighed.where(F.col("shared") * 100 >= F.col("total") * THRESHOLD).select("key", "length", "item_id", "shared", "total")

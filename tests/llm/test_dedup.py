@@ -184,6 +184,14 @@ def test_decontamination_of_rotated_items(spark):
         assert r["at"] == alone.index(max(alone))
 
 
+def test_decontamination_by_items_without_an_id(spark):
+    a, b, c = (" ".join(f"{i}x{k}" for k in range(12)) for i in range(3))
+    docs = spark.createDataFrame([(1, f"before {a} after"), (2, b), (3, c), (4, f"{a} {b}"), (5, "nothing of them at all here")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, a), (None, b), (None, b), (7, b), (8, c)], "item_id long, text string")
+    out = decontam.find(docs, items).collect()
+    assert sorted((r.doc_id, r.item_id or -1, r["at"], r.similarity) for r in out) == [(1, -1, 1, 1.0), (2, -1, 0, 1.0), (2, 7, 0, 1.0), (3, 8, 0, 1.0), (4, -1, 0, 1.0), (4, 7, 12, 1.0)]
+
+
 def test_decontamination_in_chunks(spark, monkeypatch):
     monkeypatch.setattr(decontam, "CHUNK_SHINGLES", 7)
     items = [(i, " ".join(f"{i}x{k}" for k in range(12))) for i in range(4)]
