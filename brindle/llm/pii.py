@@ -14,7 +14,8 @@ second try inside a match that fails. The method adds
   (``user@host``), a ``mailto:`` or ``tel:`` address, or a bare IP as its host;
 * ``account``: behind an identifier cue (``iban``, ``account`` ...) an identifier
   of 6 to 34 letters and digits, at least half of them digits; an IBAN must pass
-  its checksum.
+  its checksum. Groups that follow belong to it as far as it is valid with them;
+  an IBAN of its country's length ends there.
 
 Positions are code points, ends exclusive. A null or empty text has no spans.
 Repeated rows give repeated results; an empty table gives no rows.
@@ -42,6 +43,17 @@ BASE_PATTERNS = {
 SCHEMES = ("http://", "https://", "ftp://", "mailto:", "tel:", "sip:")
 CUES = ("iban", "account", "acct", "passport", "ssn", "tax id", "customer id", "member id", "patient id")
 
+#: Letters and digits of an IBAN by country.
+IBAN_LENGTHS = {
+    c: n
+    for n, names in {
+        15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+    }.items()
+    for c in names.split()
+}
+
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DIGITS = frozenset("0123456789")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -93,6 +105,24 @@ def iban_ok(text: str) -> bool:
     return int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97 == 1
 
 
+def _identifier(cue: str, run: str) -> int:
+    """Where the identifier at the beginning of *run* ends; 0 if there is none.
+
+    *run* is all groups that could belong to it; ends are tried from the longest on.
+    """
+    valid = 0
+    for end in [len(run), *(i for i in range(len(run) - 1, 5, -1) if run[i] in " -")]:
+        found = re.sub(r"[ -]", "", run[:end])
+        if len(found) < 6:
+            break
+        iban = iban_ok(found)
+        if iban and IBAN_LENGTHS.get(found[:2]) == len(found):
+            return end
+        if not valid and (iban or cue != "iban" and len(found) <= 34 and 2 * sum(c in _DIGITS for c in found) >= len(found)):
+            valid = end
+    return valid
+
+
 def find_spans(text: str) -> list[tuple[int, int, int]]:
     """All (start, kind number, end) of *text*, in that order."""
     if not text:
@@ -140,11 +170,9 @@ def find_spans(text: str) -> list[tuple[int, int, int]]:
                 if _names_person(found):
                     spans.append((at, 4, at + len(found)))
         elif at >= past[5] and not (at and text[at - 1].isalnum()) and (m := _ID.match(text, last + 1)):
-            found = re.sub(r"[ -]", "", m[1])
-            cue = text[at : last + 1].lower()
-            if iban_ok(found) or cue != "iban" and len(found) <= 34 and 2 * sum(c in _DIGITS for c in found) >= len(found):
-                past[5] = m.end()
-                spans.append((m.start(1), 5, m.end(1)))
+            if size := _identifier(text[at : last + 1].lower(), m[1]):
+                past[5] = m.start(1) + size
+                spans.append((m.start(1), 5, past[5]))
     spans.sort()
     return spans
 

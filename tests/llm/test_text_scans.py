@@ -62,6 +62,23 @@ def test_pii_added_spans():
     assert [s for s in pii.find_spans("an account of 12 years, accounts 1234567, Accountable 123456") if s[1] >= 4] == []
 
 
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("IBAN: DE89370400440532013000 BIC COBADEFF", ["DE89370400440532013000"]),
+        ("IBAN DE89 3704 0044 0532 0130 00 2024", ["DE89 3704 0044 0532 0130 00"]),
+        ("IBAN DE89 3704 0044 0532 0130 00 IBAN GB82WEST12345698765432 X", ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"]),
+        ("account 12345678 AND BALANCE DUE", ["12345678 AND"]),
+        ("account DE89370400440532013000 BIC COBADEFF", ["DE89370400440532013000"]),
+        ("passport X1234567 ISSUED BY THE STATE OF X", ["X1234567 ISSUED"]),
+        ("member id 1234567 and more, tax id 12-345-678", ["1234567", "12-345-678"]),
+        ("IBAN DE89 3704 0044 0532 0130 01 2024, account ABC DEF 12 GHI", []),
+    ],
+)
+def test_pii_accounts_before_other_groups(text, want):
+    assert [text[a:b] for a, k, b in pii.find_spans(text) if pii.KINDS[k] == "account"] == want
+
+
 def frame(spark, texts, extra=True):
     rows = [(i, t, "old", 1) for i, t in enumerate(texts)] + [(None, "a@b.cd", "old", 1), (3, texts[3], "old", 1)]
     return spark.createDataFrame(rows, "doc_id long, text string, spans string, id long")
