@@ -19,8 +19,8 @@ With the values below a pair at similarity 0.75 shares no band with probability
 
 Edge cases: words are runs of other than ASCII white space with A-Z lower-cased; a
 text of fewer words than a shingle is one shingle; a null, empty or blank text has
-an empty set, is linked with nothing and is its own component. Repeated rows, also
-with one id, have equal sets. An empty table gives no rows. Rows with a null id
+an empty set, is linked with nothing and is its own component. Rows of one id with
+different texts are judged each by its own text. An empty table gives no rows. Rows with a null id
 are never linked: their component is null and they are kept.
 """
 
@@ -117,6 +117,11 @@ def agreement(a: Column, b: Column) -> Column:
     return total
 
 
+def digest(shingles: np.ndarray, k: int) -> int:
+    """The *k*-th 64-bit digest of a set."""
+    return int(mix64(mix64(shingles + np.uint64(k)).sum(keepdims=True) + np.uint64(len(shingles)))[0].view(np.int64))
+
+
 def sketch(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
     """Per row: id, n_shingles, key_a and key_b (the set's digest), bands, planes."""
 
@@ -129,10 +134,10 @@ def sketch(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
                     rows.append((0, None, None, None, None))
                     continue
                 least = minima(s)
-                a, b = (int(mix64(mix64(s + np.uint64(k)).sum(keepdims=True) + np.uint64(len(s)))[0].view(np.int64)) for k in (1, 2))
-                rows.append((len(s), a, b, band_keys(least), signature(least)))
-        out = pd.DataFrame(rows, columns=["n_shingles", "key_a", "key_b", "bands", "planes"])
-        return out.astype({"key_a": "Int64", "key_b": "Int64"})
+                rows.append((len(s), digest(s, 1), digest(s, 2), band_keys(least), signature(least)))
+        out = pd.DataFrame(rows, columns=["n_shingles", "key_a", "key_b", "bands", "planes"], dtype=object)
+        # Not by way of floats, which would round keys beside a null.
+        return out.assign(n_shingles=out["n_shingles"].astype("int64"), key_a=out["key_a"].astype("Int64"), key_b=out["key_b"].astype("Int64"))
 
     return docs.select(docs[id_col].alias("id"), run(docs[text_col]).alias("s")).select("id", "s.*")
 
@@ -253,6 +258,13 @@ def _across(rows: DataFrame, texts: DataFrame) -> DataFrame:
     return in_order(met).mapInPandas(_joining, "a long, b long")
 
 
+def _first_digest(texts: pd.Series) -> pd.Series:
+    out = []
+    for begin in range(0, len(texts), 128):
+        out += [digest(s, 1) if s.size else None for s in shingle_sets(texts.iloc[begin : begin + 128].tolist())]
+    return pd.Series(out, dtype="Int64")
+
+
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Per row of *docs*: doc_id, n_shingles, component_id, kept.
 
@@ -262,10 +274,10 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     folder = work_dir(spark)
     sketches = stored(sketch(docs, text_col, id_col), f"{folder}/sketches")
     real = sketches.where("n_shingles > 0 and id is not null")
-    # Classes of equal sets, under their smallest id.
+    # Classes of equal sets, known by their digest: an id may have texts of several classes.
     classes = stored(real.groupBy("key_a", "key_b").agg(F.min("id").alias("rep")), f"{folder}/classes")
     heads = real.join(classes, (real["key_a"] == classes["key_a"]) & (real["key_b"] == classes["key_b"]) & (real["id"] == classes["rep"]), "left_semi")
-    heads = stored(heads.select("id", "bands", "planes").dropDuplicates(["id"]), f"{folder}/heads")
+    heads = stored(heads.select(F.col("key_a").alias("id"), "bands", "planes").dropDuplicates(["id"]), f"{folder}/heads")
     rows = heads.select("id", F.explode("bands").alias("band"))
     # Two leaders for each bucket of at least two classes: the smallest id, and the
     # smallest by a hash that differs from band to band.
@@ -278,8 +290,10 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     best = stars.groupBy("id").agg(F.max_by("leader", F.struct("agree", "leader")).alias("leader"))
     pairs = stored(best.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct(), f"{folder}/stars")
     # Texts of all classes that share a bucket; nothing else is looked at again.
-    involved = members.select("id").distinct()
-    texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(involved, "id", "left_semi").dropDuplicates(["id"])
+    key = F.pandas_udf(_first_digest, "long")
+    involved = classes.select(F.col("key_a").alias("class"), "rep").join(members.select(F.col("id").alias("class")).distinct(), "class", "left_semi")
+    texts = docs.select(docs[id_col].alias("rep"), docs[text_col].alias("text")).join(involved.select("rep").distinct(), "rep", "left_semi")
+    texts = texts.withColumn("class", key("text")).join(involved, ["rep", "class"], "left_semi").select(F.col("class").alias("id"), "text").dropDuplicates(["id"])
     texts = stored(texts, f"{folder}/texts")
     release(spark)
     links = stored(_linked(pairs, texts), f"{folder}/links1")
@@ -301,8 +315,11 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     if not more.isEmpty():
         found = stored(components(links.unionByName(more), f"{folder}/components2"), f"{folder}/found2")
 
-    result = sketches.select("id", "n_shingles", "key_a", "key_b").join(classes, ["key_a", "key_b"], "left")
-    result = result.join(found, result["rep"] == found["node"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep", "id")).otherwise(F.col("id"))
+    # A component goes by the smallest id of its classes.
+    named = classes.join(found, classes["key_a"] == found["node"], "left").select("key_a", "key_b", "rep", F.coalesce("component", "key_a").alias("component"))
+    names = named.groupBy("component").agg(F.min("rep").alias("name"))
+    named = stored(named.join(names, "component").select("key_a", "key_b", "name"), f"{folder}/names")
+    result = sketches.select("id", "n_shingles", "key_a", "key_b").join(named, ["key_a", "key_b"], "left")
+    component = F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.coalesce("name", "id")).otherwise(F.col("id"))
     result = result.select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"))
     return result.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

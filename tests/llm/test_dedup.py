@@ -59,6 +59,24 @@ def test_near_duplicates(spark, docs):
     assert minhash.near_duplicates(frame(spark, docs).where("false")).collect() == []
 
 
+@pytest.mark.parametrize("bucket_rows", [2048, 3])
+def test_near_duplicates_of_ids_with_several_texts(spark, monkeypatch, bucket_rows):
+    """Every row by its own text: as if each had an id of its own, but named by the ids there are."""
+    monkeypatch.setattr(minhash, "BUCKET_ROWS", bucket_rows)
+    rng = random.Random(8)
+    bases = [prose(rng, 120) for _ in range(6)]
+    rows = [(i, edited(rng, base, k % 2)) for i, base in enumerate(bases) for k in range(2)]
+    rows += [(0, edited(rng, base, 1)) for base in bases] + [(rng.randrange(6), edited(rng, rng.choice(bases), 1)) for _ in range(20)]
+    rows += [(2, prose(rng, 50)), (2, ""), (3, prose(rng, 50)), (9, bases[4]), (9, prose(rng, 9)), (-4, bases[5])]
+    groups, _ = near_groups(list(enumerate(t for _, t in rows)))
+    smallest: dict[int, int] = {}
+    for n, (i, _) in enumerate(rows):
+        smallest[groups[n]] = min(i, smallest.get(groups[n], i))
+    want = sorted((i, len(shingle_set(t)), smallest[groups[n]], smallest[groups[n]] == i) for n, (i, t) in enumerate(rows))
+    out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in out.collect()) == want
+
+
 def test_large_buckets_are_split(spark, docs, monkeypatch):
     monkeypatch.setattr(minhash, "BUCKET_ROWS", 3)
     groups, _ = near_groups(docs)
