@@ -78,7 +78,7 @@ STAGES = [
     ("token_files", token_files),
 ]
 
-#: SQL can't express the classifier, the draws and the tokenizer; see tests/llm/test_pipeline.py.
+#: SQL can't express the classifier, the draws and the tokenizer; see tests/llm/test_mixing_and_tokens.py.
 ORACLE_SQL = None
 
 

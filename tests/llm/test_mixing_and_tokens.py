@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 
-from .brute import words
+from .brute import contamination, near_groups, shingle_set, words
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -194,3 +194,28 @@ def test_pipeline_edges(spark, sf_dir):
 def test_pipeline_run(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir).toPandas().sort_values("start")
     assert (out["start"].to_numpy() == np.concatenate([[0], out["n_tokens"].cumsum()[:-1]])).all() and out["doc_id"].is_monotonic_increasing
+
+
+def test_pipeline_rows_against_brute_force(spark, sf_dir):
+    """run()'s rows from plain versions of the stages; only the classifier's verdicts and the draws are taken over."""
+    docs = read_table(spark, sf_dir, "documents")
+    spoken = [(r.doc_id, r.text) for r in corpus_pipeline.language_id(spark, docs, sf_dir).collect()]
+    groups, _ = near_groups(spoken)
+    items = [(r.item_id, r.text) for r in read_table(spark, sf_dir, "benchmark").collect()]
+    item_shingles = {i: shingle_set(t) for i, t in items}
+    clean = {}
+    for i, text in spoken:
+        if groups[i] == i:
+            shingles = shingle_set(text)
+            near = [item for item in items if shingles & item_shingles[item[0]]]  # others have similarity zero
+            if not contamination([(i, text)], near):
+                clean[i] = text
+    assert 0 < len(clean) < len(spoken)
+    taken = mixing.take(docs.where(docs["doc_id"].isin(list(clean)))).select("doc_id").collect()
+    tokenizer = Tokenizer.from_file(PATH)
+    want, start = [], 0
+    for i in sorted(r.doc_id for r in taken):
+        ids = np.array([*tokenizer.encode(clean[i] or "", add_special_tokens=False).ids, corpus_pipeline.END_ID], "<u4")
+        want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert sorted(map(tuple, corpus_pipeline.run(spark, sf_dir).collect()), key=lambda r: r[1]) == want
