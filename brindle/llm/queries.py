@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from . import decontam, hamming, langid, minhash, mixing, pii, secret_scan, substring, tokenstore, urlfilter
 from .common import read_table
+from .oracles import ORACLE_SQL
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 
 def op1_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,34 +85,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_cascade": op9_url_cascade,
     "op10_block_anchors": op10_block_anchors,
 }
-
-_LABELS = "|".join(urlfilter.LISTED_LABELS)
-
-ORACLE_SQL: dict[str, str] = {
-    "op1_hamming_topk": """
-WITH v AS (
-  SELECT vec_id, array_to_string(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '')::BIT AS code FROM embeddings WHERE embedding IS NOT NULL
-), d AS (
-  SELECT q.vec_id AS query_id, v.vec_id, CAST(bit_count(xor(q.code, v.code)) AS BIGINT) AS distance FROM v AS q JOIN v ON q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id
-)
-SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank, vec_id, distance FROM d
-QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) <= 10
-""",
-    "op9_url_cascade": f"""
-WITH u AS (
-  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
-), p AS (
-  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u
-), r AS (
-  SELECT page_id, host, path, CASE
-    WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
-    WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
-    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
-    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM p
-)
-SELECT page_id, host, path, rule, CASE
-    WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-    WHEN regexp_matches(host, '(^|[.-])({_LABELS})([.-]|$)') THEN 'block' ELSE 'allow' END AS verdict FROM r
-""",
-}

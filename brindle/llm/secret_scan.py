@@ -7,9 +7,9 @@ from the lengths of what lies between the matches.
 
 The method adds ``entropy`` spans: candidate strings outside the base spans in
 which a sliding window reaches the Shannon entropy asked for in the string's
-character class. As the window moves on by one character only two counts change,
-so the entropy is carried along by the difference those counts make. An
-allow-list suppresses added spans (identifiers such as UUIDs, integrity hashes,
+character class. As the window moves on by one character only two counts change; the
+counts are carried along, and with them the entropy; the time taken is linear in the
+text. An allow-list suppresses added spans (identifiers such as UUIDs, integrity hashes,
 placeholders, and strings the caller names); base spans always stay.
 
 Positions are code points, ends exclusive. A null or empty text has no spans.
@@ -50,51 +50,120 @@ ALLOW_PATTERNS = (
     r"(?i)1234567|abcdefg|(.)\1{5}",
 )
 
-_SPAN = "array<struct<start:int,kind:int,stop:int>>"
+_SPAN = "struct<start:int,kind:int,stop:int,value:string>"
+#: Rows of a part of a walk.
+_PART = 128
 
 
-def _matches(text: Column, pattern: str, kind: int, keep=None) -> Column:
-    """Spans of all matches of *pattern*; *keep* tells from (text, group 2) which stay."""
+def _none() -> Column:
+    return F.array().cast(f"array<{_SPAN}>")
+
+
+def _bind(value: Column, use) -> Column:
+    """``use(value)`` with *value* computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _walk(rows: Column, neutral: int, join, step) -> Column:
+    """The spans that ``step(carried, row)`` keeps on the way along *rows*.
+
+    *step* gives what is carried on, whether a span stays, and the span. Spark copies
+    all that an aggregate has gathered at each of its steps; so the way is cut into
+    parts, each begins with what those before it carry (by *join*), and the time taken
+    is linear in the number of rows.
+    """
+
+    def along(part: Column, begin: Column) -> Column:
+        def move(state: Column, row: Column) -> Column:
+            onward, keep, span = step(state["carried"], row)
+            return F.struct(onward.alias("carried"), F.when(keep, F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans"))
+
+        return F.aggregate(part, F.struct(begin.alias("carried"), _none().alias("spans")), move, lambda state: state["spans"])
+
+    def parted(every: Column) -> Column:
+        places = F.sequence(F.lit(0), F.floor(F.greatest(F.size(every) - 1, F.lit(0)) / _PART).cast("int"))
+        return F.transform(places, lambda i: F.slice(every, i * _PART + 1, _PART))
+
+    def walked(parts: Column) -> Column:
+        ends = F.transform(parts, lambda part: F.aggregate(part, F.lit(neutral), lambda carried, row: step(carried, row)[0]))
+        start = F.struct(F.lit(neutral).alias("carried"), F.array().cast("array<int>").alias("begins"))
+        begins = F.aggregate(ends, start, lambda state, end: F.struct(join(state["carried"], end).alias("carried"), F.concat(state["begins"], F.array(state["carried"])).alias("begins")), lambda state: state["begins"])
+        return F.flatten(F.zip_with(parts, begins, along))
+
+    return _bind(_bind(rows, parted), walked)
+
+
+def _matches(text: Column, pattern: str, kind: int, least: int = 0, group: int = 0) -> Column:
+    """Spans of all matches of *pattern* whose *group* has *least* characters."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    group = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if keep and kind == 0 else whole
-    rows = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), whole.alias("whole"), group.alias("value"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("spans"))
+    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
+    rows = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), whole.alias("whole"), value.alias("value"))
 
-    def step(state: Column, row: Column) -> Column:
-        begin = state["at"] + F.length(row["gap"])
+    def step(at: Column, row: Column) -> tuple[Column, Column, Column]:
+        begin = at + F.length(row["gap"])
         stop = begin + F.coalesce(F.length(row["whole"]), F.lit(0))
-        span = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), stop.alias("stop"))
-        kept = row["whole"].isNotNull() if keep is None else F.coalesce(keep(row), F.lit(False))
-        return F.struct(stop.alias("at"), F.when(kept, F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans"))
+        keep = F.coalesce(F.length(row["value"]) >= least, F.lit(False))
+        span = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), stop.alias("stop"), (row["value"] if kind == len(BASE_KINDS) else F.lit(None).cast("string")).alias("value"))
+        return stop, keep, span
+
+    return _walk(rows, 0, lambda a, b: a + b, step)
 
-    return F.aggregate(rows, start, step, lambda state: state["spans"])
+
+def _apart(base: Column, candidates: Column) -> Column:
+    """The candidates that overlap no base span: a pass forwards and one backwards."""
+    is_base = lambda row: row["kind"] < len(BASE_KINDS)
+
+    def ahead(reach: Column, row: Column) -> tuple[Column, Column, Column]:
+        return F.when(is_base(row), F.greatest(reach, row["stop"])).otherwise(reach), is_base(row) | (row["start"] >= reach), row
+
+    def back(reach: Column, row: Column) -> tuple[Column, Column, Column]:
+        return F.when(is_base(row), row["start"]).otherwise(reach), ~is_base(row) & (row["stop"] <= reach), row
+
+    forwards = _walk(F.array_sort(F.concat(base, candidates)), 0, F.greatest, ahead)
+    return _walk(F.reverse(forwards), (1 << 31) - 1, F.least, back)
+
+
+#: Counts are held 12 to a long, five bits each, from the character ``+`` on (up to ``z``).
+_FIRST_CHAR, _PER_LONG, _LONGS = 43, 12, 7
+_UNIT = 1 << 40
 
 
 def _peak_entropy(value: Column) -> Column:
-    """The highest entropy, in bits, of any WINDOW characters of *value*."""
-    weight = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(WINDOW + 2)])
-    chars = F.split(value, "")
+    """The highest entropy, in bits, of any WINDOW characters of a candidate string.
 
-    def f(count: Column) -> Column:
-        return F.element_at(weight, count + 1)
+    The window's counts are carried along. As it moves on, the count of the character
+    that leaves and of the one that enters change, and the sum of count * log2(count),
+    in whole units of 2**-40, by what these two make.
+    """
+    weight = F.array(*[F.lit(round(c * math.log2(c) * _UNIT) if c else 0).cast("long") for c in range(WINDOW + 2)])
 
-    def count(window: Column, char: Column) -> Column:
-        return F.size(F.filter(window, lambda c: c == char))
+    def peak(codes: Column, weights: Column) -> Column:
+        def held(counts: Column, code: Column) -> Column:
+            return F.call_function("shiftright", F.get(counts, F.floor(code / _PER_LONG).cast("int")), (code % _PER_LONG) * 5).bitwiseAND(F.lit(31).cast("long")).cast("int")
 
-    first = F.slice(chars, 1, WINDOW)
-    total = F.aggregate(F.array_distinct(first), F.lit(0.0), lambda acc, c: acc + f(count(first, c)))
+        def one(code: Column, place: Column) -> Column:
+            bit = F.call_function("shiftleft", F.lit(1).cast("long"), (code % _PER_LONG) * 5)
+            return F.when(F.floor(code / _PER_LONG) == place, bit).otherwise(F.lit(0).cast("long"))
 
-    def step(state: Column, i: Column) -> Column:
-        # The window held characters i-WINDOW .. i-1; it drops the first and takes in the i-th.
-        inner = F.slice(chars, i - WINDOW + 2, WINDOW - 1)
-        out_left = count(inner, F.element_at(chars, i - WINDOW + 1))
-        in_left = count(inner, F.element_at(chars, i + 1))
-        moved = state["sum"] + f(out_left) - f(out_left + 1) + f(in_left + 1) - f(in_left)
-        return F.struct(moved.alias("sum"), F.least(state["least"], moved).alias("least"))
+        def step(state: Column, i: Column) -> Column:
+            enters, leaves = F.get(codes, i), F.get(codes, i - WINDOW)
+            less = F.when(i >= WINDOW, F.transform(state["counts"], lambda c, place: c - one(leaves, place))).otherwise(state["counts"])
+            old = F.when(i >= WINDOW, held(state["counts"], leaves)).otherwise(F.lit(1))  # a count of 1 weighs as much as none
 
-    rest = F.when(F.size(chars) > WINDOW, F.sequence(F.lit(WINDOW), F.size(chars) - 1)).otherwise(F.array().cast("array<int>"))
-    lowest = F.aggregate(rest, F.struct(total.alias("sum"), total.alias("least")), step, lambda state: state["least"])
-    return F.lit(math.log2(WINDOW)) - lowest / WINDOW
+            def enter(counts: Column) -> Column:
+                now = held(counts, enters)
+                total = state["sum"] + F.get(weights, old - 1) - F.get(weights, old) + F.get(weights, now + 1) - F.get(weights, now)
+                least = F.when(i >= WINDOW - 1, F.least(state["least"], total)).otherwise(state["least"])
+                return F.struct(F.transform(counts, lambda c, place: c + one(enters, place)).alias("counts"), total.alias("sum"), least.alias("least"))
+
+            return _bind(less, enter)
+
+        start = F.struct(F.array_repeat(F.lit(0).cast("long"), _LONGS).alias("counts"), F.lit(0).cast("long").alias("sum"), F.lit((1 << 63) - 1).alias("least"))
+        lowest = F.aggregate(F.sequence(F.lit(0), F.size(codes) - 1), start, step, lambda state: state["least"])
+        return F.lit(math.log2(WINDOW)) - lowest / F.lit(WINDOW * _UNIT)
+
+    codes = F.transform(F.split(value, ""), lambda c: F.ascii(c) - _FIRST_CHAR)
+    return _bind(codes, lambda c: _bind(weight, lambda w: peak(c, w)))
 
 
 def looks_random(value: Column, allow: Sequence[str] = ()) -> Column:
@@ -107,34 +176,40 @@ def looks_random(value: Column, allow: Sequence[str] = ()) -> Column:
         allowed = allowed | value.rlike(pattern)
     if allow:
         allowed = allowed | value.isin(list(allow))
-    return F.when(need.isNull() | allowed, F.lit(False)).otherwise(_peak_entropy(value) >= need)
+    return F.when(need.isNull() | allowed, F.lit(False)).otherwise(_peak_entropy(value) >= need - 1e-9)
+
+
+def base_spans(text: Column) -> Column:
+    """Base spans of *text*, sorted by start."""
+    return F.array_sort(
+        F.concat(
+            F.when(text.rlike(BASE_PATTERNS["assign"]), _matches(text, BASE_PATTERNS["assign"], 0, MIN_LENGTH["assign"], group=2)).otherwise(_none()),
+            F.when(F.contains(text, F.lit("AKIA")), _matches(text, BASE_PATTERNS["access"], 1, MIN_LENGTH["access"])).otherwise(_none()),
+            # Runs are maximal, so asking for 16 characters at once finds the same matches.
+            F.when(text.rlike(r"[0-9a-f]{16}"), _matches(text, r"[0-9a-f]{16,}", 2)).otherwise(_none()),
+        )
+    )
 
 
-def secret_spans(text: Column, allow: Sequence[str] = ()) -> tuple[Column, Column]:
-    """Base spans and added spans of *text*, each sorted by start."""
-    none = F.array().cast(_SPAN)
-    base = F.concat(
-        F.when(text.rlike(BASE_PATTERNS["assign"]), _matches(text, BASE_PATTERNS["assign"], 0, lambda r: F.length(r["value"]) >= MIN_LENGTH["assign"])).otherwise(none),
-        F.when(F.contains(text, F.lit("AKIA")), _matches(text, BASE_PATTERNS["access"], 1, lambda r: F.length(r["whole"]) >= MIN_LENGTH["access"])).otherwise(none),
-        # Runs are maximal, so asking for 16 characters at once finds the same matches.
-        F.when(text.rlike(r"[0-9a-f]{16}"), _matches(text, r"[0-9a-f]{16,}", 2)).otherwise(none),
-    )
-    added = F.when(text.rlike(CANDIDATE), _matches(text, CANDIDATE, 3, lambda r: looks_random(r["whole"], allow))).otherwise(none)
-    return F.array_sort(base), added
+def entropy_spans(text: Column, base: Column, allow: Sequence[str] = ()) -> Column:
+    """Candidate strings of *text* apart from *base* that look random."""
+    candidates = _apart(base, _matches(text, CANDIDATE, len(BASE_KINDS)))
+    return F.when(text.rlike(CANDIDATE), F.filter(candidates, lambda s: looks_random(s["value"], allow))).otherwise(_none())
 
 
 def scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", allow: Sequence[str] = ()) -> DataFrame:
     """Per row of *docs*: the id, counts by base kind, a digest of the base spans, all spans."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(docs[id_col].alias(id_col), docs[text_col].alias("text"))
-    base, added = secret_spans(text, allow)
-    rows = rows.select(id_col, base.alias("base"), added.alias("added"))
-    apart = F.filter("added", lambda a: ~F.exists("base", lambda b: (b["start"] < a["stop"]) & (a["start"] < b["stop"])))
-    rows = rows.select(id_col, "base", F.array_sort(F.concat("base", apart)).alias("every"))
+    rows = docs.select(docs[id_col].alias(id_col), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+    rows = rows.select(id_col, "text", base_spans(F.col("text")).alias("base"))
+    rows = rows.select(id_col, "base", entropy_spans(F.col("text"), F.col("base"), allow).alias("added"))
+    rows = rows.select(id_col, "base", F.array_sort(F.concat("base", "added")).alias("every"))
     name = F.array(*[F.lit(k) for k in KINDS])
 
     def joined(spans: str) -> Column:
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(name, s["kind"] + 1), s["start"], s["stop"])), ",")
 
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(BASE_KINDS)]
+    def number(kind: int) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+
+    counts = [number(k).alias(f"n_{kind}") for k, kind in enumerate(BASE_KINDS)]
     return rows.select(id_col, *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("every").alias("spans"))

@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import hashlib
+import math
+import random
 import re
+import string
+import time
+from collections import Counter
 
 import pytest
 from brindle.llm import pii, secret_scan
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from .brute import spans
 
@@ -133,24 +139,46 @@ def test_secrets(spark):
     assert allowed.spans == ""
 
 
-def test_peak_entropy_is_that_of_the_best_window(spark):
-    import math
-    from collections import Counter
-
-    from pyspark.sql import functions as F
-
-    value = "aaaaaaaaaaaaaaaaaaaa0123456789abcdefghijaaaaabbbbb"
+def entropy(s):
+    return -sum(c / len(s) * math.log2(c / len(s)) for c in Counter(s).values())
 
-    def entropy(s):
-        return -sum(c / len(s) * math.log2(c / len(s)) for c in Counter(s).values())
 
-    want = max(entropy(value[i : i + 20]) for i in range(len(value) - 19))
-    got = spark.range(1).select(secret_scan._peak_entropy(F.lit(value))).first()[0]
-    assert abs(got - want) < 1e-9
-
-
-def test_native_plan(spark):
+def test_peak_entropy_is_that_of_the_best_window(spark):
+    rng = random.Random(6)
+    values = ["aaaaaaaaaaaaaaaaaaaa0123456789abcdefghijaaaaabbbbb"]
+    values += ["".join(rng.choice(alphabet) for _ in range(rng.randrange(20, 120))) for alphabet in ("ab", "0123456789abcdef", "+-/09=AZ_az", string.ascii_letters + string.digits + "+/_=-") for _ in range(40)]
+    rows = spark.createDataFrame(list(enumerate(values)), "id long, value string")
+    for r in rows.select("value", secret_scan._peak_entropy(F.col("value")).alias("got")).collect():
+        assert abs(r.got - max(entropy(r.value[i : i + 20]) for i in range(len(r.value) - 19))) < 1e-9
+
+
+def test_long_texts_take_linear_time(spark):
+    """A string of a megabyte of one kind, and many matches in one text."""
+    rng = random.Random(7)
+    letters = string.ascii_letters + string.digits + "+/"
+    hexes = "0123456789abcdef"
+    words = ["".join(rng.choices(letters, k=24)) for _ in range(20_000)]
+    texts = ["".join(rng.choices(letters, k=1_000_000)), "".join(rng.choices(hexes, k=1_000_000)), " ".join(words), " ".join("".join(rng.choices(hexes, k=16)) for _ in range(30_000))]
+    began = time.monotonic()
+    out = {r.doc_id: r for r in secret_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert time.monotonic() - began < 90
+    assert (out[0].n_hex, out[0].spans) == (0, "entropy:0:1000000")
+    assert (out[1].n_hex, out[1].spans) == (1, "hex:0:1000000")
+    assert out[2].spans.count("entropy") > 15_000 and (out[3].n_hex, out[3].spans.count("hex")) == (30_000, 30_000)
+
+
+def test_added_spans_keep_off_base_spans(spark):
+    random_part = "qX7fP2mZ9vK4tB8nR1sW6yD3"
+    texts = [f"token={random_part} {random_part} 0123456789abcdef", f"{random_part}/0123456789abcdef0 {random_part}", f"0123456789abcdef+{random_part}", f"{random_part} " * 700 + "0123456789abcdef " * 700]
+    out = {r.doc_id: r.spans.split(",") for r in secret_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert out[0] == ["assign:0:30", "entropy:31:55", "hex:56:72"]
+    assert out[1] == ["hex:25:42", "entropy:43:67"]
+    assert out[2] == ["hex:0:16"]
+    assert len(out[3]) == 1400 and out[3][699] == "entropy:17475:17499" and out[3][700] == "hex:17500:17516"
+
+
+def test_native_plan(spark, sf_dir):
     from brindle.plans import explain_text
 
-    text = explain_text(secret_scan.scan(spark.createDataFrame([(1, "a")], "doc_id long, text string")))
+    text = explain_text(secret_scan.scan(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     assert "Python" not in text and "Arrow" not in text
