@@ -11,10 +11,12 @@ from brindle.llm.common import work_dir
 from pyspark.sql import functions as F
 
 
-@pytest.mark.parametrize("bits,n", [(64, 300), (64, 3000), (24, 500)])
-def test_top_k_is_exact(spark, bits, n):
+@pytest.mark.parametrize("bits,n,bucket", [(64, 300, 2048), (64, 3000, 2048), (24, 500, 2048), (64, 1500, 20), (24, 500, 5)])
+def test_top_k_is_exact(spark, monkeypatch, bits, n, bucket):
+    monkeypatch.setattr(hamming, "BUCKET_CODES", bucket)
     rng = np.random.default_rng(n)
     vectors = rng.normal(size=(n, bits)).astype(float)
+    vectors[:, : bits // 3] += 1.5 if bucket < 2048 else 0  # bits that hardly differ
     vectors[: n // 3] = vectors[0]  # one vector fills a third
     vectors[n // 3 : n // 2] = vectors[0] * np.where(rng.random((n // 2 - n // 3, bits)) < 0.05, -1, 1)
     rows = [(int(i), v.tolist(), 0) for i, v in enumerate(vectors)] + [(n + 1, None, 0), (0, vectors[0].tolist(), 0), (None, vectors[1].tolist(), 0)]
