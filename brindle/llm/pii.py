@@ -1,7 +1,8 @@
 """Personal data by anchor expansion.
 
 One Aho-Corasick automaton passes over the text and finds anchors: at-signs, the
-first digits of numbers, plus signs before digits, schemes and identifier cues.
+first digits of numbers, plus signs before digits, schemes and identifier cues in
+any case.
 From each anchor a deterministic parser walks to the boundaries of the item and
 validates it. Nothing else of the text is looked at, so a text without anchors
 costs one pass of the automaton.
@@ -77,11 +78,9 @@ def _automaton() -> ahocorasick.Automaton:
                 a.add_word(f"{d}{gap}{e}", ("card", 2 + len(gap)))
     a.add_word("@", ("email", 1))
     for word in SCHEMES:
-        for form in {word, word.upper(), word.capitalize()}:
-            a.add_word(form, ("url", len(form)))
+        a.add_word(word, ("url", len(word)))
     for word in CUES:
-        for form in {word, word.upper(), word.capitalize()}:
-            a.add_word(form, ("account", len(form)))
+        a.add_word(word, ("account", len(word)))
     a.make_automaton()
     return a
 
@@ -89,6 +88,20 @@ def _automaton() -> ahocorasick.Automaton:
 _shared: list[ahocorasick.Automaton] = []
 
 
+_FOLD = {c: c + 32 for c in range(65, 91)}
+
+
+def _folded(text: str) -> str:
+    """*text* in lower case, character by character."""
+    low = text.lower()
+    return low if len(low) == len(text) else text.translate(_FOLD)
+
+
+def _is_byte(digits: str) -> bool:
+    digits = digits.lstrip("0")  # there may be thousands
+    return len(digits) < 4 and int(digits or "0") <= 255
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -131,7 +144,7 @@ def find_spans(text: str) -> list[tuple[int, int, int]]:
         _shared.append(_automaton())
     spans: list[tuple[int, int, int]] = []
     past = [0] * len(KINDS)  # where the last match of a kind ended, also of one that failed validation
-    for last, (kind, length) in _shared[0].iter(text):
+    for last, (kind, length) in _shared[0].iter(_folded(text)):
         at = last + 1 - length
         if kind == "email":
             start = at
@@ -148,7 +161,7 @@ def find_spans(text: str) -> list[tuple[int, int, int]]:
                 start -= 1
             if m := _IP.match(text, start):
                 past[1] = m.end()
-                if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m[0].split(".")):
+                if all(_is_byte(p) for p in m[0].split(".")):
                     spans.append((start, 1, m.end()))
         elif kind == "card":
             if at < past[2]:
@@ -184,7 +197,7 @@ def _names_person(address: str) -> bool:
     if low.startswith("tel:"):
         return sum(c in _DIGITS for c in address) >= 7
     m = _IP_HOST.match(address)
-    return bool(_USER.match(address)) or bool(m and all(len(p) < 4 and int(p) <= 255 for p in m[1].split(".")))
+    return bool(_USER.match(address)) or bool(m and all(len(p) < 4 and _is_byte(p) for p in m[1].split(".")))
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
