@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import gc
+import os
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.fs
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space that separates words: space and U+0009 to U+000D.
@@ -24,12 +29,33 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def work_dir(spark: SparkSession) -> str:
-    """A new folder below the session's shared checkpoint folder."""
+#: Folders of the scratch blocks that are open, the innermost last.
+_scratch: list[str] = []
+
+
+def work_dir(spark: SparkSession, keep: bool = False) -> str:
+    """A new folder below the session's shared checkpoint folder.
+
+    Within a :func:`scratch` block it goes with the block, unless *keep* is set.
+    """
     base = spark.conf.get("spark.checkpoint.dir", "") or LOCAL_WORK_DIR
+    if _scratch and not keep:
+        base = _scratch[-1]
     return f"{base.rstrip('/')}/brindle-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Work folders made within the block are deleted at its end: results must be written by then."""
+    folder = work_dir(spark)
+    _scratch.append(folder)
+    try:
+        yield
+    finally:
+        _scratch.remove(folder)
+        release(spark, folder)
+
+
 def stored(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write *df* to the shared folder and read it back.
 
@@ -55,11 +81,51 @@ def release(spark: SparkSession, *paths: str) -> None:
     spark._jvm.System.gc()
 
 
+def filesystem(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The store of *folder* and the path in it; a plain path is a local one."""
+    return pyarrow.fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:/") else f"file://{os.path.abspath(folder)}")
+
+
 def ascii_lower(col):
     """A-Z lower-cased, every other character unchanged."""
     return F.translate(col, UPPER, LOWER)
 
 
+def unused(columns: list[str], name: str) -> str:
+    """*name*, or a longer one that none of *columns* has (names ignore case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    return [df[f"`{c}`"] for c in df.columns]
+
+
+def row_key(df: DataFrame) -> Column:
+    """128 bits, as text, that rows share only if they are equal in every column."""
+    every = columns_of(df)
+    nulls = F.concat(*[F.when(c.isNull(), "0").otherwise("1") for c in every])
+    return F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(seed), nulls, *every)), 16, "0") for seed in (1, 2)])
+
+
+#: Copies of a row that one task makes.
+CHUNK_COPIES = 1 << 16
+
+
+def spread(rows: DataFrame, count: str, place: str) -> DataFrame:
+    """Each row as often as its *count* says, numbered from 0 by *place*.
+
+    The copies of a row of many copies are made by many tasks.
+    """
+    chunk, n = unused([*rows.columns, place], "chunk"), F.col(count).cast("long")
+    few = rows.where(n.between(1, CHUNK_COPIES)).withColumn(place, F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
+    many = rows.where(n > CHUNK_COPIES).withColumn(chunk, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / CHUNK_COPIES)))).repartition(chunk)
+    first = F.col(chunk) * CHUNK_COPIES
+    return few.unionByName(many.withColumn(place, F.explode(F.sequence(first, F.least(n, first + CHUNK_COPIES) - 1))).drop(chunk))
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -102,6 +168,8 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return up[:n], down[:n]
 
 
+#: Longer words, in bytes, are hashed each by itself.
+LONG_WORD = 256
 #: Bytes of text that are hashed at once; each takes some 40 bytes of memory.
 CHUNK_BYTES = 1 << 20
 
@@ -141,6 +209,9 @@ def _word_hashes(texts: list[bytes], lower: bool) -> tuple[np.ndarray, np.ndarra
     sums = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
     hashes = mix64((sums[ends] - sums[begins]) * down[begins])
+    # Sums of powers modulo 2**64 are the same for certain words of 1024 letters.
+    for i in np.flatnonzero(ends - begins > LONG_WORD).tolist():
+        hashes[i] = xxhash.xxh3_64_intdigest(raw[begins[i] : ends[i]].tobytes())
     bounds = np.cumsum([len(t) + 1 for t in texts])
     return hashes, np.diff(np.searchsorted(begins, bounds), prepend=0)
 

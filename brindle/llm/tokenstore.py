@@ -32,13 +32,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow.fs
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored, work_dir
+from .common import filesystem, stored, work_dir
 
 MAGIC = b"BRNDPLN1"
 BLOCK_IDS = 1 << 16
@@ -140,11 +139,6 @@ def from_planes(planes: list[bytes], n: int, unit: str) -> np.ndarray:
     return ids
 
 
-def filesystem(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    """The store of *folder* and the path in it; a plain path is a local one."""
-    return pyarrow.fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:/") else f"file://{os.path.abspath(folder)}")
-
-
 class ShardWriter:
     def __init__(self, folder: str, unit: str = "byte", level: int = 3):
         self.fs, base = filesystem(folder)
@@ -314,4 +308,5 @@ def tokens(manifest: DataFrame, folder: str) -> DataFrame:
 
 
 def new_folder(spark: SparkSession) -> str:
-    return f"{work_dir(spark)}/tokens"
+    """A folder for shard files, which stay: they are what the caller wants."""
+    return f"{work_dir(spark, keep=True)}/tokens"

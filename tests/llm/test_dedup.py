@@ -216,3 +216,35 @@ def test_decontamination_in_chunks(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"before {t} after") for i, t in items], "doc_id long, text string")
     out = decontam.find(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
     assert sorted((r.doc_id, r.item_id, r["at"], r.shared, r.total) for r in out) == [(i, i, 1, 8, 8) for i in range(4)]
+
+
+@pytest.mark.parametrize("groups", [3, 1024])
+def test_repeats_in_groups_of_buckets_and_of_many_equal_rows(spark, docs, monkeypatch, groups):
+    """More buckets than groups, parts of few values, and rows equal in id and text."""
+    monkeypatch.setattr(substring, "GROUPS", groups)
+    monkeypatch.setattr(substring, "PART_VALUES", 1000)
+    monkeypatch.setattr(substring, "COPIES", 3)
+    want = without_repeats(docs)
+    copied = [next(r for r in docs if r[0] == i) for i in (1005, 2003, 0)] + [(None, docs[0][1])]
+    rows = spark.createDataFrame([*docs, *(copied * 9)], "doc_id long, text string").repartition(3)
+    out = substring.remove_repeats(rows).collect()
+    assert len(out) == len(docs) + 36 and sum(r.doc_id == 1005 for r in out) == 10
+    for r in out:
+        if r.doc_id is not None:
+            own, kept = want[r.doc_id]
+            assert (r.n_words, r.n_removed, r.kept_text) == (len(own), len(own) - len(kept), " ".join(kept))
+
+
+def test_long_words_of_equal_power_sums_differ():
+    """Thue-Morse words of 1024 letters and their complements, alone and in windows."""
+    bits = [bin(i).count("1") % 2 for i in range(4096)]
+    for size in (1024, 2048, 4096):
+        a = bytes(97 + b for b in bits[:size])
+        b = bytes(98 - b for b in bits[:size])
+        h, _ = word_hashes([a, b], lower=False)
+        assert h[0] != h[1]
+
+
+@pytest.mark.parametrize("numbers", [[5], [-(1 << 63), (1 << 63) - 1, 0], [7, 7 + 255], [7, 7 + 256], [-3, -70000], [1 << 62, (1 << 62) + (1 << 40)]])
+def test_packed_numbers(numbers):
+    assert substring._unpacked(substring._packed(np.array(numbers, np.int64))).tolist() == numbers
