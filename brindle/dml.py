@@ -144,8 +144,10 @@ class Work:
                 if fk.on_delete == "RESTRICT":
                     raise ConstraintError(f"Constraint Violation: rows of '{child.name}' still refer to '{parent}' (fk_{child.name}_{parent}, RESTRICT)")
                 if fk.on_delete == "CASCADE":
+                    # Written, so that the next level doesn't compute all levels before it again.
+                    folder = self._write(child.name, hit)
                     self._replace(child.name, old.join(keys, old[fk.column] == F.col("__key"), "left_anti"))
-                    frontier.append((child.name, hit))
+                    frontier.append((child.name, self.storage.read([folder], child.schema)))
                 else:
                     self._move(child, fk, keys.withColumn("__new", F.lit(None).cast(old.schema[fk.column].dataType)).withColumnRenamed("__key", "__old"))
 

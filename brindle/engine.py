@@ -67,9 +67,13 @@ class Engine:
         self.catalog.commit(change)
 
     def register(self, name: str, df: DataFrame) -> None:
-        """Create the table *name* from a DataFrame, without constraints."""
+        """Create the table *name* from a DataFrame, without constraints.
+
+        Decimals are refused: the dialect's DECIMAL is a double, so the caller decides
+        by a cast what is lost.
+        """
         kinds = {"boolean": "BOOLEAN", "tinyint": "TINYINT", "smallint": "SMALLINT", "int": "INTEGER", "bigint": "BIGINT", "float": "DOUBLE", "double": "DOUBLE", "string": "VARCHAR", "timestamp_ntz": "TIMESTAMP", "timestamp": "TIMESTAMP", "date": "DATE"}
-        columns = [ast.ColumnDef(c, kinds.get(t, "DOUBLE" if t.startswith("decimal") else "")) for c, t in df.dtypes]
+        columns = [ast.ColumnDef(c, kinds.get(t, "")) for c, t in df.dtypes]
         if unknown := [c.name for c in columns if not c.type]:
             raise ValueError(f"columns of types the dialect doesn't have: {unknown}")
         df = df.select(*[F.col(quoted(c.name)).cast(data_type(c.type)).alias(c.name) for c in columns])

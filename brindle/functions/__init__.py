@@ -1,6 +1,6 @@
 """Scalar and aggregate functions of the dialect as Column builders; no UDFs."""
 
-from .aggregates import AGGREGATES, aggregate
+from .aggregates import AGGREGATES, MEDIANS, aggregate
 from .arithmetic import add, divide, int_divide, multiply, negate, subtract
 from .predicates import between, ilike, in_list, is_null, like
 from .strings import FUNCTIONS, call, concat, length, lower, octet_length, substring, upper
@@ -8,6 +8,7 @@ from .strings import FUNCTIONS, call, concat, length, lower, octet_length, subst
 __all__ = [
     "AGGREGATES",
     "FUNCTIONS",
+    "MEDIANS",
     "add",
     "aggregate",
     "between",

@@ -1,4 +1,8 @@
-"""Aggregates: nulls are ignored, and over no rows all but COUNT are null."""
+"""Aggregates: nulls are ignored, and over no rows all but COUNT are null.
+
+MEDIAN as an aggregate holds the different values of a group in one task; it is for
+inputs of a checked size. See :func:`brindle.operators.group_with_medians`.
+"""
 
 from __future__ import annotations
 
@@ -18,6 +22,9 @@ AGGREGATES: dict[str, Callable[[Column], Column]] = {
     "MED": F.median,
 }
 
+#: Names of the aggregate that needs the values of a group in order.
+MEDIANS = ("MEDIAN", "MED")
+
 
 def aggregate(name: str, arg: Column | None) -> Column:
     """The aggregate *name*; COUNT without an argument counts rows."""

@@ -11,11 +11,14 @@ from .relational import (
     except_all,
     filter_,
     group,
+    group_with_medians,
     having,
     intersect,
     intersect_all,
+    is_small,
     join,
     limit,
+    mark_in,
     not_in,
     project,
     scan,
@@ -36,11 +39,14 @@ __all__ = [
     "except_all",
     "filter_",
     "group",
+    "group_with_medians",
     "having",
     "intersect",
     "intersect_all",
+    "is_small",
     "join",
     "limit",
+    "mark_in",
     "not_in",
     "project",
     "scan",

@@ -64,6 +64,13 @@ def aggregates_in(expr: ast.Expr) -> list[ast.Aggregate]:
     return [a for child in children(expr) for a in aggregates_in(child)]
 
 
+def queries_in(expr: ast.Expr) -> list[ast.InQuery]:
+    """The outermost IN (SELECT ...) of an expression."""
+    if isinstance(expr, ast.InQuery):
+        return [expr]
+    return [q for child in children(expr) for q in queries_in(child)]
+
+
 def conjuncts(expr: ast.Expr) -> list[ast.Expr]:
     if isinstance(expr, ast.Binary) and expr.op == "AND":
         return conjuncts(expr.left) + conjuncts(expr.right)
@@ -196,8 +203,14 @@ class Lowering:
         if any(aggregates_in(a.arg) for a in calls if a.arg is not None) or any(aggregates_in(g) for g in group):
             raise ParseError("aggregates may not be nested or grouped by")
         keys = [self.expr(g, df, ctes).alias(f"__g{i}") for i, g in enumerate(group)]
-        made = [functions.aggregate(a.name, None if a.arg is None else self.expr(a.arg, df, ctes)).alias(f"__a{i}") for i, a in enumerate(calls)]
-        grouped = operators.group(df, keys, made) if made else df.select(*keys).distinct()
+        args = [None if a.arg is None else self.expr(a.arg, df, ctes) for a in calls]
+        medians = {f"__a{i}": arg for i, (a, arg) in enumerate(zip(calls, args, strict=True)) if a.name.upper() in functions.MEDIANS}
+        if medians and not operators.is_small(df):
+            made = [functions.aggregate(a.name, arg).alias(f"__a{i}") for i, (a, arg) in enumerate(zip(calls, args, strict=True)) if f"__a{i}" not in medians]
+            grouped = operators.group_with_medians(df, keys, made, medians)
+        else:
+            made = [functions.aggregate(a.name, arg).alias(f"__a{i}") for i, (a, arg) in enumerate(zip(calls, args, strict=True))]
+            grouped = operators.group(df, keys, made) if made else df.select(*keys).distinct()
 
         def same(g: ast.Expr, e: ast.Expr) -> bool:
             if isinstance(g, ast.Name) and isinstance(e, ast.Name):
@@ -217,8 +230,12 @@ class Lowering:
         return grouped, lambda e: e if isinstance(e, ast.Star) else replace(e, change)
 
     def _filter(self, df: DataFrame, condition: ast.Expr, ctes: dict[str, DataFrame]) -> DataFrame:
-        """Filters by conjuncts; IN and NOT IN over queries become joins where they stand alone."""
-        plain = None
+        """Filters by conjuncts; IN and NOT IN over queries become joins.
+
+        Where one stands alone it is a semi or anti join; within an expression, say
+        under OR, a join marks the rows with its truth value.
+        """
+        plain, marks = None, []
         for part in conjuncts(condition):
             negative = isinstance(part, ast.Not)
             inner = part.value if negative else part
@@ -231,9 +248,14 @@ class Lowering:
                     right = right.toDF("__in")
                     df = operators.semi_join(df, right, value == F.col("__in"))
             else:
+                for query in queries_in(part):
+                    marks.append(f"__in{len(marks)}")
+                    df = operators.mark_in(df, self.expr(query.value, df, ctes), self._one_column(query, ctes), marks[-1])
+                    mark = ast.Name(marks[-1])
+                    part = replace(part, lambda e, query=query, mark=mark: mark if e is query else None)
                 column = self.expr(part, df, ctes)
                 plain = column if plain is None else plain & column
-        return df if plain is None else operators.filter_(df, plain)
+        return df if plain is None else operators.filter_(df, plain).drop(*marks)
 
     def _one_column(self, e: ast.InQuery, ctes: dict[str, DataFrame]) -> DataFrame:
         right = self.query(e.query, ctes)
@@ -252,10 +274,8 @@ class Lowering:
         match e:
             case ast.Literal(value):
                 return literal(value)
-            case ast.Param(number):
-                if not 1 <= number <= len(self.params):
-                    raise ParseError(f"parameter {number} has no value")
-                return literal(self.params[number - 1])
+            case ast.Param():
+                return literal(self._value(e))
             case ast.Name(name, None):
                 return F.col(quoted(name))
             case ast.Name(name, table):
@@ -282,10 +302,9 @@ class Lowering:
                 return low(value).isin(self._one_column(e, ctes or {}))
             case ast.Between(value, a, b):
                 return functions.between(low(value), low(a), low(b))
-            case ast.Like(value, ast.Literal(str() as pattern), ignore_case):
-                return (functions.ilike if ignore_case else functions.like)(low(value), pattern)
             case ast.Like(value, pattern, ignore_case):
-                return (functions.ilike if ignore_case else functions.like)(low(value), low(pattern))
+                known = self._value(pattern)
+                return (functions.ilike if ignore_case else functions.like)(low(value), known if isinstance(known, str) else low(pattern))
             case ast.Call(name, args):
                 return functions.call(name, [low(x) for x in args])
             case ast.Aggregate():
@@ -294,6 +313,14 @@ class Lowering:
                 raise ParseError("* can't stand here")
         raise ParseError(f"unknown expression: {e}")
 
+    def _value(self, e: ast.Expr) -> Any:
+        """What a literal or a parameter stands for; None for other expressions."""
+        if isinstance(e, ast.Param):
+            if not 1 <= e.number <= len(self.params):
+                raise ParseError(f"parameter {e.number} has no value")
+            return self.params[e.number - 1]
+        return e.value if isinstance(e, ast.Literal) else None
+
     def _types(self, df: DataFrame | None, right: DataFrame | None, *columns: Column) -> tuple[str, ...]:
         base = self.spark.range(1) if df is None else df
         if right is not None:

@@ -117,6 +117,10 @@ dialect("in_subquery", "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT
 dialect("not_in_subquery", "SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') AND o_totalprice > 100000")
 dialect("in_subquery_or", "SELECT n_nationkey FROM nation WHERE n_regionkey = 0 OR n_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000)")
 
+dialect("not_in_subquery_or", "SELECT o_orderkey FROM orders WHERE o_totalprice > 300000 OR o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+dialect("like_parameter", "SELECT p_partkey, p_name FROM part WHERE p_name LIKE $1 OR p_name ILIKE $2", "SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%a%e%i%o%' OR p_name ILIKE '%S%T%N%L%'", ("%a%e%i%o%", "%S%T%N%L%"))
+dialect("like_column", "SELECT a.n_name AS name, b.r_name AS pattern FROM nation AS a JOIN region AS b ON a.n_regionkey = b.r_regionkey WHERE CONCAT('x', b.r_name, 'y') LIKE CONCAT('%', SUBSTRING(b.r_name, 1, 1), '%', SUBSTRING(b.r_name, 2, 1), '%_%', SUBSTRING(b.r_name, 4, 1), '%')", "SELECT a.n_name AS name, b.r_name AS pattern FROM nation AS a JOIN region AS b ON a.n_regionkey = b.r_regionkey WHERE 'x' || b.r_name || 'y' LIKE '%' || substring(b.r_name, 1, 1) || '%' || substring(b.r_name, 2, 1) || '%_%' || substring(b.r_name, 4, 1) || '%'")
+
 # ------------------------------------------------------------------ sources
 
 dialect("derived_table", "SELECT d.status AS status, d.n AS n FROM (SELECT o_orderstatus AS status, COUNT(*) AS n FROM orders GROUP BY o_orderstatus) AS d WHERE d.n > 1")
@@ -167,7 +171,14 @@ dialect("join_left", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN order
 @query(f"SELECT COUNT(*) AS n, {DEC('l_quantity')} AS sum_qty, MIN(l_shipdate) AS first, MAX(l_shipdate) AS last, {DEC('l_quantity')} / COUNT(*) AS avg_qty, MEDIAN(l_quantity) AS med_qty FROM lineitem")
 def agg_global(spark, d):
     qty = dec_sum(col("l_quantity"))
-    return op.group(load(spark, d, "lineitem"), [], [fn.aggregate("COUNT", None).alias("n"), qty.alias("sum_qty"), F.min("l_shipdate").alias("first"), F.max("l_shipdate").alias("last"), (qty / F.count(lit(1))).alias("avg_qty"), fn.aggregate("MEDIAN", col("l_quantity")).alias("med_qty")])
+    made = [fn.aggregate("COUNT", None).alias("n"), qty.alias("sum_qty"), F.min("l_shipdate").alias("first"), F.max("l_shipdate").alias("last"), (qty / F.count(lit(1))).alias("avg_qty")]
+    return op.group_with_medians(load(spark, d, "lineitem"), [], made, {"med_qty": col("l_quantity")})
+
+
+@query("SELECT l_returnflag, l_suppkey, COUNT(*) AS n, MEDIAN(l_extendedprice) AS price, MEDIAN(l_quantity) AS qty FROM lineitem GROUP BY l_returnflag, l_suppkey")
+def agg_median_two_pass(spark, d):
+    """As MEDIAN runs on inputs that are not small: no task holds a group's values."""
+    return op.group_with_medians(load(spark, d, "lineitem"), ["l_returnflag", "l_suppkey"], [F.count(lit(1)).alias("n")], {"price": col("l_extendedprice"), "qty": col("l_quantity")})
 
 
 dialect("agg_empty", "SELECT COUNT(*) AS n, SUM(l_quantity) AS s, MIN(l_quantity) AS lo, MAX(l_quantity) AS hi, AVG(l_quantity) AS a, MEDIAN(l_quantity) AS m FROM lineitem WHERE l_quantity < 0")
@@ -302,6 +313,173 @@ def txn_savepoint(spark, d):
     return engine.sql("SELECT * FROM t").df
 
 
+# ------------------------------------------- what a statement refuses or undoes
+
+
+def _told(spark: SparkSession, session, *statements: str) -> list[str]:
+    """For each statement ``ok`` or the kind of error it ends with; for a query its one value."""
+    out = []
+    for text in statements:
+        try:
+            result = session.sql(text)
+            out.append(str(result.rows()[0][0]) if result.df is not None else "ok")
+        except Exception as e:
+            out.append(type(e).__name__)
+    return out
+
+
+def _steps(spark: SparkSession, told: list[str]) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(told, 1)), "step int, told string")
+
+
+def _expect(*told: str) -> str:
+    """The oracle of steps; what begins with SELECT is asked of the tables."""
+    parts = [f"SELECT {i} AS step, CAST(({t}) AS VARCHAR) AS told" if t.startswith("SELECT") else f"SELECT {i} AS step, '{t}' AS told" for i, t in enumerate(told, 1)]
+    return " UNION ALL ".join(parts)
+
+
+def steps(name: str, setup: Callable[[SparkSession, str], Engine], *pairs: tuple[str, str]) -> None:
+    """Statements, each with what it must tell."""
+    QUERIES[name] = lambda spark, d: _steps(spark, _told(spark, setup(spark, d), *[text for text, _ in pairs]))
+    ORACLE_SQL[name] = _expect(*[told for _, told in pairs])
+
+
+def _bare(spark: SparkSession, d: str) -> Engine:
+    return Engine(spark, _warehouse(spark))
+
+
+def _with_nations(on_nation: str = "", on_supplier: str = "") -> Callable[[SparkSession, str], Engine]:
+    return lambda spark, d: _family(spark, d, on_nation, on_supplier)
+
+
+_N_REGIONS, _N_NATIONS = "SELECT COUNT(*) FROM region", "SELECT COUNT(*) FROM nation"
+steps(
+    "check_keys",
+    _with_nations(),
+    ("INSERT INTO region VALUES (0, 'AGAIN')", "ConstraintError"),
+    ("INSERT INTO region VALUES (70, 'X'), (70, 'Y')", "ConstraintError"),
+    ("INSERT INTO region VALUES (71, 'EUROPE')", "ConstraintError"),
+    ("UPDATE region SET r_regionkey = 1 WHERE r_regionkey = 2", "ConstraintError"),
+    (_N_REGIONS, _N_REGIONS),
+    ("INSERT INTO region VALUES (72, 'ATLANTIS')", "ok"),
+    (_N_REGIONS, "SELECT COUNT(*) + 1 FROM region"),
+)
+steps("check_not_null", _with_nations(), ("INSERT INTO region VALUES (70, NULL)", "ConstraintError"), ("UPDATE region SET r_name = NULL", "ConstraintError"), ("INSERT INTO region VALUES (NULL, 'X')", "ConstraintError"), (_N_REGIONS, _N_REGIONS))
+steps(
+    "check_child_needs_parent",
+    _with_nations(),
+    ("INSERT INTO nation VALUES (100, 'LOST', 77)", "ConstraintError"),
+    ("UPDATE nation SET n_regionkey = 77 WHERE n_nationkey = 3", "ConstraintError"),
+    ("INSERT INTO nation VALUES (100, 'FREE', NULL), (101, 'BOUND', 1)", "ok"),
+    ("SELECT COUNT(*) FROM nation WHERE n_regionkey = 1", "SELECT COUNT(*) + 1 FROM nation WHERE n_regionkey = 1"),
+    (_N_NATIONS, "SELECT COUNT(*) + 2 FROM nation"),
+)
+steps("fk_delete_restrict", _with_nations("ON DELETE RESTRICT"), ("DELETE FROM region WHERE r_regionkey = 1", "ConstraintError"), (_N_REGIONS, _N_REGIONS), ("DELETE FROM nation WHERE n_regionkey = 1 AND n_nationkey > 1000", "ok"), (_N_NATIONS, _N_NATIONS))
+steps("fk_update_restrict", _with_nations("ON UPDATE RESTRICT"), ("UPDATE region SET r_regionkey = 33 WHERE r_regionkey = 3", "ConstraintError"), ("SELECT COUNT(*) FROM nation WHERE n_regionkey = 3", "SELECT COUNT(*) FROM nation WHERE n_regionkey = 3"))
+
+
+@query("SELECT n_nationkey, CASE WHEN n_regionkey = 3 THEN NULL ELSE n_regionkey END AS n_regionkey FROM nation")
+def fk_update_set_null(spark, d):
+    engine = _family(spark, d, "ON UPDATE SET NULL", "")
+    engine.sql("UPDATE region SET r_regionkey = 33 WHERE r_regionkey = 3")
+    return engine.sql("SELECT n_nationkey, n_regionkey FROM nation").df
+
+
+steps(
+    "drop_objects",
+    _with_nations(),
+    ("DROP TABLE region", "EngineError"),
+    ("CREATE VIEW v AS SELECT * FROM region", "ok"),
+    ("SELECT COUNT(*) FROM v", _N_REGIONS),
+    ("DROP VIEW v", "ok"),
+    ("SELECT COUNT(*) FROM v", "ParseError"),
+    ("CREATE INDEX i ON supplier (s_nationkey)", "ok"),
+    ("DROP INDEX i", "ok"),
+    ("DROP INDEX i", "EngineError"),
+    ("DROP TABLE supplier", "ok"),
+    ("SELECT COUNT(*) FROM supplier", "ParseError"),
+)
+steps(
+    "index_unique",
+    _with_nations(),
+    ("CREATE UNIQUE INDEX by_region ON nation (n_regionkey)", "ConstraintError"),
+    ("CREATE UNIQUE INDEX by_name ON nation (n_name)", "ok"),
+    ("CREATE UNIQUE INDEX by_name ON nation (n_name)", "EngineError"),
+    ("INSERT INTO nation (SELECT 1)", "ParseError"),
+    ("INSERT INTO nation VALUES (200, 'NEW', 1), (201, 'NEW', 1)", "ConstraintError"),
+    ("INSERT INTO nation VALUES (200, NULL, 1), (201, NULL, 1)", "ok"),
+    (_N_NATIONS, "SELECT COUNT(*) + 2 FROM nation"),
+)
+_T = ("CREATE TABLE t (id INTEGER PRIMARY KEY, val INTEGER)", "ok")
+_COUNT, _SUM = "SELECT COUNT(*) FROM t", "SELECT SUM(val) FROM t"
+steps("txn_rollback", _bare, _T, ("INSERT INTO t VALUES (1, 10)", "ok"), ("BEGIN", "ok"), ("INSERT INTO t VALUES (2, 20)", "ok"), ("UPDATE t SET val = 11", "ok"), (_SUM, "22"), ("ROLLBACK", "ok"), (_SUM, "10"), ("BEGIN", "ok"), ("BEGIN", "EngineError"), ("COMMIT", "ok"))
+steps(
+    "txn_release",
+    _bare,
+    *[_T, ("SAVEPOINT a", "EngineError"), ("BEGIN", "ok"), ("SAVEPOINT a", "ok"), ("INSERT INTO t VALUES (1, 10)", "ok"), ("RELEASE SAVEPOINT a", "ok")],
+    *[("ROLLBACK TO SAVEPOINT a", "EngineError"), ("ROLLBACK", "ok"), (_COUNT, "0"), ("BEGIN", "ok"), ("SAVEPOINT b", "ok"), ("INSERT INTO t VALUES (2, 5)", "ok"), ("RELEASE SAVEPOINT b", "ok"), ("COMMIT", "ok"), (_SUM, "5")],
+)
+steps(
+    "txn_poisoned",
+    _bare,
+    *[_T, ("BEGIN", "ok"), ("INSERT INTO t VALUES (1, 10)", "ok"), ("SAVEPOINT a", "ok"), ("INSERT INTO t VALUES (1, 11)", "ConstraintError"), (_COUNT, "EngineError"), ("ROLLBACK TO SAVEPOINT a", "ok"), (_COUNT, "1")],
+    *[("SELECT nothing FROM t", "AnalysisException"), ("INSERT INTO t VALUES (3, 3)", "EngineError"), ("COMMIT", "ok"), (_COUNT, "0")],
+)
+
+
+@query(_expect("ok", "ok", "0", "1", "0", "ok", "Conflict", "1", "10"))
+def txn_isolation(spark, d):
+    """A session reads as of its BEGIN; of two that change one table the first to commit wins."""
+    engine = _bare(spark, d)
+    one, two = engine.session(), engine.session()
+    told = _told(spark, one, _T[0], "BEGIN", _COUNT)
+    two.sql("INSERT INTO t VALUES (1, 10)")
+    told += _told(spark, two, _COUNT) + _told(spark, one, _COUNT, "INSERT INTO t VALUES (2, 20)", "COMMIT", _COUNT, _SUM)
+    return _steps(spark, told)
+
+
+@query(_expect("ok", "ok", "ok", "ok", "0", "ok", "2", "12", "EngineError", "ConstraintError"))
+def recovery(spark, d):
+    """Another engine over the same warehouse has what was committed: rows, definitions, keys; and no more."""
+    place = _warehouse(spark)
+    told = _told(spark, Engine(spark, place), "CREATE TABLE t (id INTEGER PRIMARY KEY, val INTEGER)", "BEGIN", "CREATE TABLE u (a INTEGER)", "INSERT INTO t VALUES (9, 9)")
+    told += _told(spark, Engine(spark, place), "SELECT COUNT(*) FROM u", "INSERT INTO t VALUES (1, 5), (2, 7)")
+    return _steps(spark, told + _told(spark, Engine(spark, place), _COUNT, _SUM, "CREATE TABLE u (a INTEGER)", "INSERT INTO t VALUES (1, 6)"))
+
+
+@query(_expect("ok", "ok", "ok", "1", "0"))
+def session_close(spark, d):
+    """A session that ends inside a transaction leaves nothing behind."""
+    engine = _bare(spark, d)
+    session = engine.session()
+    told = _told(spark, session, _T[0], "BEGIN", "INSERT INTO t VALUES (1, 1)", _COUNT)
+    session.close()
+    return _steps(spark, told + _told(spark, engine.session(), _COUNT))
+
+
+@query("SELECT TRUE AS planned, TRUE AS names_the_table, 0 AS changed")
+def explain_statement(spark, d):
+    """EXPLAIN gives a plan as one row and runs nothing."""
+    engine = _engine(spark, d, "nation")
+    (text,) = engine.sql("EXPLAIN SELECT n_name FROM nation WHERE n_regionkey = 1").rows()[0]
+    (delete,) = engine.sql("EXPLAIN DELETE FROM nation WHERE n_regionkey = 1").rows()[0]
+    changed = load(spark, d, "nation").count() - engine.sql("SELECT COUNT(*) FROM nation").rows()[0][0]
+    return spark.createDataFrame([("Physical Plan" in text and "Filter" in text, "nation" in delete, changed)], "planned boolean, names_the_table boolean, changed int")
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 2")
+def dbapi_rows(spark, d):
+    """Rows as the DB-API gives them."""
+    from . import dbapi
+
+    place = _warehouse(spark)
+    Engine(spark, place).register("nation", load(spark, d, "nation"))
+    connection = dbapi.connect(place, spark=spark)
+    cursor = connection.cursor()
+    cursor.execute("SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = ?", (2,))
+    return spark.createDataFrame([tuple(r) for r in cursor.fetchall()], load(spark, d, "nation").select(*[c[0] for c in cursor.description]).schema)
+
+
 # -------------------------------------------------------------------- flagship
 
 _Q3 = """SELECT o_orderkey, {rev} AS revenue, o_orderdate FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import random
+import re
+import statistics
+import time
+
 import pytest
+from pyspark.sql import functions as F
 
+from brindle import operators
 from brindle.engine import Engine
-from brindle.plans import Lowering, ParseError, parse
+from brindle.operators import relational
+from brindle.plans import Lowering, ParseError, explain_text, parse
 
 
 @pytest.fixture(scope="module")
@@ -186,3 +194,74 @@ def test_explain(spark, tmp_path):
     assert engine.sql("SELECT * FROM t").rows() == [(1, 2)]
     with pytest.raises(Exception, match="Unsupported statement type"):
         engine.sql("EXPLAIN DROP TABLE t")
+
+
+def test_like_with_many_wildcards_is_linear(run):
+    """Also where the pattern is a parameter or a column."""
+    text, pattern = "a" * 5000, "%a" * 25 + "%b"
+    began = time.monotonic()
+    for how in ("LIKE", "ILIKE"):
+        assert run(f"SELECT COUNT(*) FROM x WHERE $1 {how} $2", text, pattern) == [(0,)]
+        assert run(f"SELECT COUNT(*) FROM x WHERE ? {how} ?", text + "b", pattern) == [(5,)]
+        assert run(f"SELECT COUNT(*) FROM (SELECT $2 AS p FROM x) AS t WHERE $1 {how} p", text, pattern) == [(0,)]
+    assert time.monotonic() - began < 60
+
+
+def test_like_by_row(spark):
+    patterns = ["%a%_%c%d%", "a%.%*%+%", "%(%)%[%]%", "%\\%\\%a%", "%%%%", "", "%", "_%_%_%_%_", "%É%é%x%", "% % % %", "a%a%a%a", "a%b", "_b%"]
+    values = ["abxcd", "a.x*y+z", "x(y)z[w]", "q\\w\\ea", "", "abcde", "É é x", "a b c d", "aaa", "aaaa", "a\na\naba", "%", "(%)%[]", "AbxCD"]
+    pairs = spark.createDataFrame([(v, p) for v in values for p in patterns], "v string, p string")
+
+    def fits(value, pattern):
+        return bool(re.fullmatch("".join(".*" if c == "%" else "." if c == "_" else re.escape(c) for c in pattern), value, re.S))
+
+    def met(how):
+        return sorted(tuple(r) for r in Lowering(spark, {"t": pairs}.get).query(parse(f"SELECT v, p FROM t WHERE v {how} p")).collect())
+
+    assert met("LIKE") == sorted((v, p) for v in values for p in patterns if fits(v, p))
+    assert met("ILIKE") == sorted((v, p) for v in values for p in patterns if fits(v.lower(), p.lower()))
+
+
+def test_in_under_or_keeps_three_values(run):
+    """NOT IN over a query with a null is never true, over no rows always; the other side of OR still counts."""
+    assert run("SELECT COUNT(*) FROM x WHERE a = 2 OR a NOT IN (SELECT a FROM y)") == [(1,)]
+    assert run("SELECT COUNT(*) FROM x WHERE a = 2 OR a NOT IN (SELECT a FROM y WHERE a = 2)") == [(3,)]
+    assert run("SELECT COUNT(*) FROM x WHERE a = 2 OR a NOT IN (SELECT a FROM y WHERE a > 9)") == [(5,)]
+    assert run("SELECT COUNT(*) FROM x WHERE a IS NULL OR a IN (SELECT a FROM y WHERE a = 1)") == [(4,)]
+    assert run("SELECT COUNT(*) FROM x WHERE NOT (a IN (SELECT a FROM y WHERE a = 1) OR a IN (SELECT a FROM y WHERE a = 2))") == [(0,)]
+    assert run("SELECT COUNT(*) FROM x WHERE NOT (a = 1 OR a IN (SELECT a FROM y WHERE a = 7))") == [(1,)]
+
+
+def test_median_in_two_passes(spark, monkeypatch):
+    """Ties, nulls, null keys, groups of one row, and groups of nulls only."""
+    rng = random.Random(2)
+    rows = [(k, rng.choice([None, float(rng.randrange(5)), rng.random() * 10**rng.randrange(-3, 6)])) for k in (None, 1, 2) for _ in range(3001 + (k or 0))]
+    rows += [(3, 4.5), (4, None), (5, 1.0), (5, 2.0), *[(6, 7.0)] * 50]
+    df = spark.createDataFrame(rows, "k int, v double")
+    out = operators.group_with_medians(df, ["k"], [F.count("v").alias("n")], {"m": F.col("v"), "twice": F.col("v") * 2}).collect()
+    assert len(out) == 7
+    for r in out:
+        own = [v for k, v in rows if k == r.k and v is not None]
+        assert r.n == len(own) and r.m == (statistics.median(own) if own else None) and r.twice == (2 * r.m if own else None)
+    monkeypatch.setattr(relational, "SMALL_BYTES", 0)
+    run = lambda text: Lowering(spark, {"t": df}.get).query(parse(text)).collect()
+    every = statistics.median(v for _, v in rows if v is not None)
+    assert [tuple(r) for r in run("SELECT MEDIAN(v) AS m, COUNT(*) AS n FROM t")] == [(every, len(rows))]
+    assert {r[0]: r[1] for r in run("SELECT k, MED(v) + 1 FROM t GROUP BY k HAVING MEDIAN(v) > 4")}[6] == 8.0
+    assert [tuple(r) for r in run("SELECT MEDIAN(v) FROM t WHERE k > 100")] == [(None,)]
+
+
+@pytest.mark.parametrize("offset", [0, 1, 250, 999, 1000, 5000])
+def test_offset_without_limit_in_parts(spark, monkeypatch, offset):
+    monkeypatch.setattr(relational, "SMALL_BYTES", 0)
+    assert spark.sparkContext.getCheckpointDir()
+    df = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("v")).repartition(7).orderBy("v")
+    out = operators.limit(df, None, offset)
+    assert [r.v for r in out.collect()] == list(range(1000))[offset:]
+    assert "Limit" not in explain_text(out)
+
+
+def test_decimals_are_not_registered(spark, tmp_path):
+    engine = Engine(spark, f"file://{tmp_path}")
+    with pytest.raises(ValueError, match="d"):
+        engine.register("t", spark.sql("SELECT CAST(1 AS DECIMAL(38, 10)) AS d"))
