@@ -31,6 +31,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 #: Folders of the scratch blocks that are open, the innermost last.
 _scratch: list[str] = []
+#: Folders made outside of such blocks.
+_made: list[str] = []
 
 
 def work_dir(spark: SparkSession, keep: bool = False) -> str:
@@ -41,7 +43,10 @@ def work_dir(spark: SparkSession, keep: bool = False) -> str:
     base = spark.conf.get("spark.checkpoint.dir", "") or LOCAL_WORK_DIR
     if _scratch and not keep:
         base = _scratch[-1]
-    return f"{base.rstrip('/')}/brindle-{uuid.uuid4().hex}"
+    folder = f"{base.rstrip('/')}/brindle-{uuid.uuid4().hex}"
+    if not keep and not _scratch:
+        _made.append(folder)
+    return folder
 
 
 @contextmanager
@@ -56,6 +61,15 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         release(spark, folder)
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete all work folders that this process has made, but for those it was told to keep.
+
+    For the end of a session: lazy results that were not written lose what they read.
+    """
+    release(spark, *_made)
+    _made.clear()
+
+
 def stored(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write *df* to the shared folder and read it back.
 
@@ -68,6 +82,22 @@ def stored(df: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Texts that travel to a Python worker at once in jobs over whole documents.
+BATCH_TEXTS = "1000"
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs run within the block send few rows at once to Python workers, which bounds their memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, BATCH_TEXTS)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def release(spark: SparkSession, *paths: str) -> None:
     """Delete work folders that are done with, and let Spark drop shuffle files.
 
@@ -114,12 +144,14 @@ def row_key(df: DataFrame) -> Column:
 CHUNK_COPIES = 1 << 16
 
 
-def spread(rows: DataFrame, count: str, place: str) -> DataFrame:
-    """Each row as often as its *count* says, numbered from 0 by *place*.
+def spread(rows: DataFrame, count: str, place: str, most: int) -> DataFrame:
+    """Each row as often as its *count* says (*most* at most), numbered from 0 by *place*.
 
     The copies of a row of many copies are made by many tasks.
     """
     chunk, n = unused([*rows.columns, place], "chunk"), F.col(count).cast("long")
+    if most <= CHUNK_COPIES:
+        return rows.where(n >= 1).withColumn(place, F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
     few = rows.where(n.between(1, CHUNK_COPIES)).withColumn(place, F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
     many = rows.where(n > CHUNK_COPIES).withColumn(chunk, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / CHUNK_COPIES)))).repartition(chunk)
     first = F.col(chunk) * CHUNK_COPIES

@@ -13,7 +13,7 @@ all sizes, are landed together with the last two, so that the words come closest
 to the target.
 
 Work is split by source and hashed block, so a source that holds most rows is
-many tasks. All draws are seeded by source, block and level: reruns agree.
+many tasks; equal rows are numbered, so they meet in no block of their own. All draws are seeded by source, block and level: reruns agree.
 
 Edge cases: a null text has size 0; a null source is a source of its own, after
 all others; rows of size 0 are drawn but take nothing; a source of total size 0
@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_CLASS, stored, work_dir
+from .common import WORD_CLASS, columns_of, row_key, spread, stored, unused, work_dir
 
 #: Up to this many sources their totals are broadcast; beyond it they are joined by shuffle.
 BROADCAST_SOURCES = 10_000
@@ -97,7 +97,7 @@ def land(sizes: Sequence[float], chances: list[float]) -> None:
 
 def source_targets(sizes: DataFrame, weights: Sequence[float], cap: float) -> DataFrame:
     """Per source: its number in code point order (null last), total size, rows, target."""
-    sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+    sources = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"), F.sum("copies").alias("n"))
     number = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     sources = sources.withColumn("source_no", number)
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("source_no") % len(weights) + 1).cast("int"))
@@ -121,7 +121,7 @@ def _water_level(sources: DataFrame, share: float) -> float:
 
 def _drawing(seed: int, number: int, carry: Sequence[str]):
     def draw(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["size", *carry], ascending=False, kind="stable", na_position="last")
+        part = part.sort_values(["size", *carry, "copy"], ascending=False, kind="stable", na_position="last")
         sizes, chances = part["size"].astype(float).tolist(), part["part"].tolist()
         last = part["blocks"].iloc[0] == 1
         # The last block of a source keeps some units of all sizes for the landing.
@@ -152,14 +152,18 @@ def mix(
     """Rows of *docs* (columns *carry*) with size, source_size, target, times and taken."""
     spark = docs.sparkSession
     folder = work_dir(spark)
-    taken_names = {"size", "source", "source_no", "source_size", "target", "times", "taken", "whole", "part", "blocks", "block"}
-    if taken_names & set(carry):
-        raise ValueError(f"columns to carry may not be called {sorted(taken_names & set(carry))}")
+    taken_names = {"size", "source", "s", "source_no", "source_size", "target", "times", "taken", "whole", "part", "blocks", "block", "copies", "copy"}
+    if wrong := sorted(c for c in carry if c.lower() in taken_names):
+        raise ValueError(f"columns to carry may not be called {wrong}")
     size = word_count(docs["text"]) if size is None else size
     # As strings, ids pass through pandas unchanged also where some are null.
     kinds = {c: docs.schema[c].dataType for c in carry}
-    rows = stored(docs.select(*[docs[c].cast("string").alias(c) for c in carry], docs[source_col].alias("source"), size.alias("size")), f"{folder}/sizes")
+    rows = docs.select(*[docs[c].cast("string").alias(c) for c in carry], docs[source_col].alias("source"), size.alias("size"))
+    rows = rows.groupBy(*carry, "source", "size").agg(F.count("*").alias("copies"))
+    rows = stored(rows, f"{folder}/sizes")
     sources = stored(source_targets(rows, weights, cap), f"{folder}/sources")
+    most = rows.agg(F.coalesce(F.max("copies"), F.lit(0))).first()[0]
+    rows = spread(rows, "copies", "copy", most).drop("copies")
     level = _water_level(sources, share)
     n_sources, largest = sources.agg(F.count("*"), F.coalesce(F.max("n"), F.lit(0))).first()
     target = F.least("most", F.col("weight") * level)
@@ -171,7 +175,7 @@ def mix(
     number, blocks_left, done = 0, -(-largest // block_rows), None
     while True:
 
-        block = F.pmod(F.xxhash64(F.lit(number), "size", *carry), F.col("blocks"))
+        block = F.pmod(F.xxhash64(F.lit(number), "size", "copy", *carry), F.col("blocks"))
         drawn = units.withColumn("block", block).groupBy("source_no", "block").applyInPandas(_drawing(seed, number, carry), units.withColumn("block", block).schema)
         drawn = stored(drawn.drop("block"), f"{folder}/level{number}")
         fixed = F.col("part").isin(0.0, 1.0)
@@ -190,23 +194,20 @@ def take(docs: DataFrame, source_col: str = "source", text_col: str = "text", **
     """*docs* with every row repeated as often as the mix takes it.
 
     Only a key of each row goes through the mix; rows equal in every column have
-    one key and share what it takes evenly.
+    one key and are made as often as the mix takes any of them.
     """
-    if set(docs.columns) & {"__key", "__times", "__copies"}:
-        raise ValueError("columns may not be called __key, __times or __copies")
-    keyed = docs.withColumn("__key", F.xxhash64(*docs.columns))
-    mixed = mix(keyed, source_col=source_col, size=word_count(F.col(text_col)), carry=["__key"], **options)
-    drawn = mixed.groupBy("__key").agg(F.sum("times").alias("__times"), F.count("*").alias("__copies")).where("__times > 0")
+    key, times, copies, place = (unused(docs.columns, f"__{n}") for n in ("key", "times", "copies", "place"))
+    keyed = docs.withColumn(key, row_key(docs))
+    mixed = mix(keyed, source_col=source_col, size=word_count(docs[text_col]), carry=[key], **options)
+    drawn = mixed.groupBy(key).agg(F.sum("times").alias(times), F.count("*").alias(copies)).where(F.col(times) > 0)
     drawn = stored(drawn, f"{work_dir(docs.sparkSession)}/drawn")
-    met = keyed.join(drawn, "__key")
-    if drawn.where("__copies > 1").isEmpty():
-        return _repeated(met, docs.columns)
-    rank = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))
-    several = met.where("__copies > 1").withColumn("__rank", rank)
-    several = several.withColumn("__times", F.expr("__times div __copies") + (F.col("__rank") <= F.expr("__times % __copies")).cast("long")).drop("__rank")
-    every = met.where("__copies = 1").unionByName(several).where("__times > 0")
-    return _repeated(every, docs.columns)
-
-
-def _repeated(rows: DataFrame, columns: list[str]) -> DataFrame:
-    return rows.withColumn("__rank", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(*columns)
+    every = columns_of(docs)
+    repeated, most = drawn.agg(F.coalesce(F.max(copies), F.lit(0)), F.coalesce(F.max(times), F.lit(0))).first()
+    if repeated <= 1:
+        rows = keyed.join(drawn, key)
+    else:
+        met = keyed.join(drawn, key)
+        one = F.first(F.struct(*every)).alias("row")
+        several = met.where(F.col(copies) > 1).groupBy(key, times, copies).agg(one).select(key, "row.*", times, copies)
+        rows = met.where(F.col(copies) == 1).select(*[F.col(f"`{c}`") for c in several.columns]).unionByName(several)
+    return spread(rows, times, place, most).select(*[F.col(f"`{c}`") for c in docs.columns])
