@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from . import urlfilter
-
-_LABELS = "|".join(urlfilter.LISTED_LABELS)
 
 ORACLE_SQL: dict[str, str] = {
     "op1_hamming_topk": """
@@ -47,8 +44,55 @@ SELECT doc_id, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WH
   coalesce(string_agg(span, ',' ORDER BY start, kind), '') AS spans
 FROM d LEFT JOIN n USING (r) GROUP BY r, doc_id
 """,
-    "op9_url_cascade": f"""
-WITH u AS (
+    "op5_simhash_windows": r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM benchmark),
+ds AS (SELECT doc_id, len(w) AS n, unnest(range(0, len(w) - 4)) AS pos, unnest(list_transform(range(1, len(w) - 3), lambda i: w[i : i + 4])) AS shingle FROM d WHERE len(w) >= 5),
+its AS (
+  SELECT item_id, l, shingle, count(*) AS c
+  FROM (SELECT item_id, len(w) AS l, unnest(list_transform(range(1, len(w) - 3), lambda i: w[i : i + 4])) AS shingle FROM b WHERE len(w) >= 5) GROUP BY ALL),
+met AS (SELECT doc_id, n, item_id, l, pos, shingle, c FROM ds JOIN its USING (shingle)),
+starts AS (SELECT doc_id, item_id, n, l, unnest(range(0, greatest(0, n - l) + 1)) AS s FROM (SELECT DISTINCT doc_id, item_id, n, l FROM met)),
+counted AS (
+  SELECT x.doc_id, x.item_id, x.n, x.l, x.s, shingle, least(count(*), any_value(c)) AS m FROM starts AS x
+  JOIN met ON met.doc_id = x.doc_id AND met.item_id = x.item_id AND pos BETWEEN s AND s + x.l - 5 GROUP BY ALL),
+summed AS (SELECT doc_id, item_id, n, l, s, CAST(sum(m) AS BIGINT) AS shared FROM counted GROUP BY ALL),
+weighed AS (SELECT doc_id, item_id, s, shared, CAST(least(n, l) - 4 + l - 4 - shared AS BIGINT) AS total FROM summed)
+SELECT doc_id, item_id, CAST(s AS BIGINT) AS at, shared, total, shared / total AS similarity FROM weighed WHERE 100 * shared >= 75 * total
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY shared / total DESC, s) = 1
+""",
+    "op7_minhash_bbit": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [w] ELSE list_transform(range(1, len(w) - 3), lambda i: w[i : i + 4]) END) AS shingle FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS hits FROM s AS a JOIN s AS b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM shared JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * hits >= 75 * (x.n + y.n - hits)),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, e.b FROM reach AS r JOIN edge AS e ON e.a = r.other),
+least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM d JOIN least USING (doc_id) LEFT JOIN n USING (doc_id)
+""",
+    "op10_block_anchors": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (
+  SELECT doc_id, i, array_to_string(w[i : i + 49], ' ') AS win
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+hit AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY sha256(win)) AS first FROM win) WHERE first < doc_id),
+starts AS (SELECT doc_id, list_distinct(flatten(list(range(i, i + 50)))) AS gone FROM hit GROUP BY doc_id),
+kept AS (
+  SELECT d.doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed,
+    CASE WHEN gone IS NULL THEN w ELSE list_transform(list_sort(list_filter(range(1, len(w) + 1), lambda j: NOT list_contains(gone, j))), lambda j: w[j]) END AS kept
+  FROM d LEFT JOIN starts USING (doc_id))
+SELECT doc_id, n_words, n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM kept
+""",
+    "op9_url_cascade": """
+WITH listed AS (
+  SELECT concat(name, '.example.', top) AS domain FROM (SELECT unnest(['ads-track', 'adult-x', 'casino-win', 'cheap-pills', 'free-bets', 'spam-farm']) AS name), (SELECT unnest(['com', 'net', 'org']) AS top)
+), u AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
 ), p AS (
   SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -62,6 +106,6 @@ WITH u AS (
 )
 SELECT page_id, host, path, rule, CASE
     WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-    WHEN regexp_matches(host, '(^|[.-])({_LABELS})([.-]|$)') THEN 'block' ELSE 'allow' END AS verdict FROM r
+    WHEN EXISTS (SELECT 1 FROM listed WHERE host = domain OR ends_with(host, '.' || domain)) THEN 'block' ELSE 'allow' END AS verdict FROM r
 """,
 }

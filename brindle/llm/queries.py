@@ -62,10 +62,14 @@ def op8_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
+LISTED_DOMAINS = [f"{name}.example.{top}" for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org")]
+
 
 def op9_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules, then a table of domains: known names under each of the top domains in use."""
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
-    return urlfilter.filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+    listed = spark.createDataFrame([(d,) for d in LISTED_DOMAINS], "domain string")
+    return urlfilter.filter_urls(pages, URL_RULES, listed).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op10_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:

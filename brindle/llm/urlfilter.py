@@ -1,35 +1,46 @@
-"""URL filters: longest-match rules, then a Bloom filter cascade over host keys.
+"""URL filters: longest-match rules, then a Bloom filter cascade over domain keys.
 
-The cascade holds a list of keys exactly, relative to the complete key universe
-of the corpus. Level 1 is a Bloom filter of the listed keys; level 2 encodes the
-keys of the universe that level 1 takes for listed by mistake; level 3 encodes
-the listed keys that level 2 takes in, and so on until no mistake is left. A key
-of the universe is decided by the first level that doesn't hold it. Rows are
-tested against bits that travel with the task; no join takes place.
+A list of domains, given as a table, blocks these and all their subdomains. The
+cascade holds the list exactly, relative to the complete key universe of the corpus:
+all hosts and the domains above them. Level 1 is a Bloom filter of the listed keys;
+level 2 encodes the keys of the universe that level 1 takes for listed by mistake;
+level 3 encodes the listed keys that level 2 takes in, and so on until no mistake is
+left. A key of the universe is decided by the first level that doesn't hold it. No
+row of the corpus is joined or shuffled.
+
+A list of any length is held by the same method: keys are dealt to shards by hash,
+each with a cascade of its own of about ``SHARD_BITS``. The bits are files in the
+shared folder that Spark hands to the executors, where they are mapped, not loaded.
 
 Edge cases: a null url, or one without ``://``, has an empty host and path, fits
 no rule and no key, and is allowed. Repeated urls give repeated rows; an empty
-table gives no rows; an empty list allows every key.
+table gives no rows; an empty list allows every key; null and empty entries of the
+list and repeated ones don't matter, entries of more than ``MAX_LABELS`` labels are
+no domains and are ignored.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, mix64, release, stored, work_dir
+from .common import ascii_lower, filesystem, mix64, release, stored, work_dir
 
 #: action, host, path
 Rule = tuple[str, str, str]
 
-#: Label parts of a host that put it on the list.
-LISTED_LABELS = ("adult", "bets", "casino", "poker", "porn", "slots", "xxx")
+MAX_LABELS = 127
+#: Bits of a shard's levels, and so what the driver gathers at once (32 MB).
+SHARD_BITS = 1 << 28
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -55,16 +66,32 @@ def matching_rule(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Co
     return name, action
 
 
-def listed_by_label(host: Column, labels: Sequence[str] = LISTED_LABELS) -> Column:
-    """Whether a part of the host, between dots and hyphens, is a listed label."""
-    return host.rlike(r"(^|[.-])(" + "|".join(labels) + r")([.-]|$)")
+def domains_of(host: Column, labels: int) -> Column:
+    """The host and the domains above it, as far as they have at most *labels* labels."""
+
+    def above(parts: Column) -> Column:
+        least = F.greatest(F.lit(1), F.size(parts) - (labels - 1))
+        return F.transform(F.sequence(least, F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+
+    parts = F.split(host, r"\.")
+    return F.when(host != "", F.get(F.transform(F.array(parts), above), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
 @dataclass(frozen=True)
 class Level:
+    """A Bloom filter whose bits are in a file that Spark hands to the executors."""
+
     bits: int
     hashes: int
-    words: np.ndarray
+    name: str
+
+    def words(self) -> np.ndarray:
+        if self.name not in _mapped:
+            _mapped[self.name] = np.memmap(SparkFiles.get(self.name), "<u8", "r")
+        return _mapped[self.name]
+
+
+_mapped: dict[str, np.ndarray] = {}
 
 
 def _positions(h1: np.ndarray, h2: np.ndarray, level: int, bits: int, hashes: int) -> Iterator[np.ndarray]:
@@ -75,26 +102,43 @@ def _positions(h1: np.ndarray, h2: np.ndarray, level: int, bits: int, hashes: in
 
 
 def _holds(level_no: int, level: Level, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
-    inside = np.ones(len(h1), bool)
+    inside, words = np.ones(len(h1), bool), level.words()
     for p in _positions(h1, h2, level_no, level.bits, level.hashes):
-        inside &= (level.words[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1) == 1
+        inside &= (words[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1) == 1
     return inside
 
 
 class Cascade:
-    """The levels of a Bloom filter cascade; exact on the universe it was built over."""
+    """The levels of each shard; exact on the universe they were built over."""
 
-    def __init__(self, levels: list[Level]):
-        self.levels = levels
+    def __init__(self, shards: list[list[Level]]):
+        self.shards = shards
 
     @property
-    def size_bytes(self) -> int:
-        return sum(x.words.nbytes for x in self.levels)
+    def bits(self) -> int:
+        return sum(level.bits for levels in self.shards for level in levels)
 
     def contains(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
-        listed = np.full(len(h1), len(self.levels) % 2 == 1)
+        listed = np.zeros(len(h1), bool)
+        shard = h1.view(np.int64) % len(self.shards)
+        for number in np.unique(shard).tolist():
+            own = np.flatnonzero(shard == number)
+            listed[own] = self._within(self.shards[number], h1[own], h2[own])
+        return listed
+
+    def lists(self, keys: list[list[str]]) -> np.ndarray:
+        """Which of the lists of keys have one that is listed."""
+        found = np.zeros(len(keys), bool)
+        if any(keys):
+            inside = self.contains(*key_hashes([k for own in keys for k in own]))
+            found[np.repeat(np.arange(len(keys)), [len(own) for own in keys])[inside]] = True
+        return found
+
+    @staticmethod
+    def _within(levels: list[Level], h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+        listed = np.full(len(h1), len(levels) % 2 == 1)
         open_ = np.ones(len(h1), bool)
-        for i, level in enumerate(self.levels):
+        for i, level in enumerate(levels):
             inside = _holds(i, level, h1, h2)
             listed[open_ & ~inside] = i % 2 == 1
             open_ &= inside
@@ -117,84 +161,107 @@ def _level_words(keys: DataFrame, level_no: int, bits: int, hashes: int) -> np.n
             yield pd.DataFrame({"word": word.astype(np.int64), "value": value.view(np.int64)})
 
     rows = keys.select("h1", "h2").mapInPandas(partial, "word long, value long").groupBy("word").agg(F.bit_or("value").alias("value")).toPandas()
-    words = np.zeros((bits + 63) // 64, np.uint64)
+    words = np.zeros((bits + 63) // 64, "<u8")
     words[rows["word"].to_numpy()] = rows["value"].to_numpy(np.int64).view(np.uint64)
     return words
 
 
-def key_hashes(key: Column) -> tuple[Column, Column]:
-    return F.xxhash64(F.lit(1), key), F.xxhash64(F.lit(2), key)
+def key_hashes(keys: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each key."""
+    found = np.frombuffer(b"".join([xxhash.xxh3_128_digest(k.encode("utf-8", "surrogatepass")) for k in keys]), "<u8").reshape(-1, 2)
+    return found[:, 0].astype(np.uint64), found[:, 1].astype(np.uint64)
 
 
-def build_cascade(universe: DataFrame, folder: str, max_bytes: int) -> Cascade | None:
-    """The cascade over *universe* (columns h1, h2, listed; distinct keys).
+def hashed_keys(keys: DataFrame) -> DataFrame:
+    """h1, h2 and listed of *keys* (key, listed)."""
 
-    None if its bits would exceed *max_bytes*, judged from counts before any
-    bits are gathered.
-    """
-    spark = universe.sparkSession
+    @F.pandas_udf("h1 long, h2 long")
+    def hashes(column: pd.Series) -> pd.DataFrame:
+        h1, h2 = key_hashes(column.tolist())
+        return pd.DataFrame({"h1": h1.view(np.int64), "h2": h2.view(np.int64)})
+
+    return keys.select(hashes("key").alias("h"), "listed").select("h.*", "listed")
+
+
+def _published(words: np.ndarray, folder: str, spark) -> str:
+    """The name under which executors find a file of *words*."""
+    fs, base = filesystem(folder)
+    fs.create_dir(base, recursive=True)
+    name = f"level-{uuid.uuid4().hex}.bits"
+    with fs.open_output_stream(f"{base}/{name}") as out:
+        out.write(words.tobytes())
+    spark.sparkContext.addFile(f"{folder}/{name}")
+    return name
+
+
+def _first_rate(n_in: int, n_out: int) -> float:
+    return min(0.5, max(n_in / max(n_out, 1), 1e-6) / math.sqrt(2))
+
+
+def _bits(n: int, rate: float) -> int:
+    return max(64, math.ceil(n * -math.log2(rate) / math.log(2)))
+
+
+def build_cascade(universe: DataFrame, folder: str, shard_bits: int = SHARD_BITS) -> Cascade:
+    """The cascade over *universe* (columns h1, h2, listed; distinct keys)."""
     universe = stored(universe, f"{folder}/universe")
     total = {r["listed"]: r["n"] for r in universe.groupBy("listed").agg(F.count("*").alias("n")).collect()}
-    inside, outside = universe.where("listed"), universe.where("not listed")
     n_in, n_out = total.get(True, 0), total.get(False, 0)
+    # The first level's bits, and twice two bits a key for all that follow.
+    shards = max(1, -(-(_bits(n_in, _first_rate(n_in, n_out)) + 4 * n_in) // shard_bits))
+    parts = [universe] if shards == 1 else [universe.where(F.pmod("h1", F.lit(shards)) == i) for i in range(shards)]
+    return Cascade([_levels(part, f"{folder}/shard{i}") for i, part in enumerate(parts)])
+
+
+def _levels(universe: DataFrame, folder: str) -> list[Level]:
+    spark = universe.sparkSession
+    inside, outside = universe.where("listed"), universe.where("not listed")
+    n_in, n_out = inside.count(), outside.count()
     levels: list[Level] = []
     while n_in:
-        rate = min(0.5, max(n_in / max(n_out, 1), 1e-6) / math.sqrt(2)) if not levels else 0.5
-        hashes = max(1, round(-math.log2(rate)))
-        bits = max(64, math.ceil(n_in * -math.log2(rate) / math.log(2)))
-        if sum(x.bits for x in levels) / 8 + bits / 8 > max_bytes:
-            return None
-        no = len(levels)
-        level = Level(bits, hashes, _level_words(inside, no, bits, hashes))
+        rate = 0.5 if levels else _first_rate(n_in, n_out)
+        no, hashes, bits = len(levels), max(1, round(-math.log2(rate))), _bits(n_in, rate)
+        level = Level(bits, hashes, _published(_level_words(inside, no, bits, hashes), f"{folder}/bits", spark))
         levels.append(level)
-        shared = spark.sparkContext.broadcast(level)
 
-        def mistaken(batches: Iterator[pd.DataFrame], no: int = no, shared=shared) -> Iterator[pd.DataFrame]:
+        def mistaken(batches: Iterator[pd.DataFrame], no: int = no, level: Level = level) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                yield batch[_holds(no, shared.value, _as_u64(batch["h1"]), _as_u64(batch["h2"]))]
+                yield batch[_holds(no, level, _as_u64(batch["h1"]), _as_u64(batch["h2"]))]
 
         wrong = stored(outside.select("h1", "h2").mapInPandas(mistaken, "h1 long, h2 long"), f"{folder}/level{no}")
-        inside, outside, n_in, n_out = wrong, inside, wrong.count(), n_in
-    return Cascade(levels)
+        inside, outside, n_in = wrong, inside, wrong.count()
+    for no in range(len(levels)):
+        release(spark, f"{folder}/level{no}")
+    return levels
 
 
-def filter_urls(
-    pages: DataFrame,
-    rules: Sequence[Rule],
-    listed: Column | None = None,
-    url_col: str = "url",
-    max_bytes: int = 64 << 20,
-) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: Sequence[Rule], listed: DataFrame, url_col: str = "url", shard_bits: int = SHARD_BITS) -> DataFrame:
     """*pages* with host, path, rule, listed and verdict columns added.
 
-    ``listed`` is a condition on the column ``host`` that says which keys are on
-    the list (by default :func:`listed_by_label`). The cascade's size follows the
-    number of listed keys; where it would exceed *max_bytes* the listed keys are
-    joined instead. Columns of these names in *pages* are replaced.
+    *listed*: a table whose first column has the domains on the list. Columns of these
+    names in *pages* are replaced.
     """
     spark = pages.sparkSession
     host, path = split_url(F.col(url_col))
-    parsed = pages.drop(*[c for c in ("host", "path", "rule", "listed", "verdict", "h1", "h2") if c != url_col])
-    if url_col in ("host", "path", "rule", "listed", "verdict"):
+    added = ("host", "path", "rule", "listed", "verdict")
+    if url_col.lower() in added:
         raise ValueError(f"the url column may not be called {url_col}")
-    parsed = parsed.withColumns({"host": host, "path": path})
-    listed = listed_by_label(F.col("host")) if listed is None else listed
-    h1, h2 = key_hashes(F.col("host"))
-    keys = parsed.select("host").where("host <> ''").distinct()
+    parsed = pages.drop(*[c for c in pages.columns if c.lower() in added]).withColumns({"host": host, "path": path})
+    entries = listed.select(ascii_lower(F.col(listed.columns[0]).cast("string")).alias("key"))
+    entries = entries.where((F.col("key") != "") & (F.size(F.split("key", r"\.")) <= MAX_LABELS)).distinct()
+    labels = entries.agg(F.coalesce(F.max(F.size(F.split("key", r"\."))), F.lit(1))).first()[0]
     folder = work_dir(spark)
-    cascade = build_cascade(keys.select(h1.alias("h1"), h2.alias("h2"), F.coalesce(listed, F.lit(False)).alias("listed")), folder, max_bytes)
-    if cascade is None:
-        on_list = keys.where(listed).withColumn("listed", F.lit(True))
-        parsed = parsed.join(on_list, "host", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
-    else:
-        shared = spark.sparkContext.broadcast(cascade)
-
-        @F.pandas_udf("boolean")
-        def member(a: pd.Series, b: pd.Series) -> pd.Series:
-            return pd.Series(shared.value.contains(_as_u64(a), _as_u64(b)))
-
-        parsed = parsed.withColumn("listed", (F.col("host") != "") & member(h1, h2))
+    keys = parsed.select("host").where("host <> ''").distinct().select(F.explode(domains_of(F.col("host"), labels)).alias("key")).distinct()
+    keys = keys.join(entries.withColumn("listed", F.lit(True)), "key", "left")
+    cascade = build_cascade(hashed_keys(keys.select("key", F.coalesce("listed", F.lit(False)).alias("listed"))), folder, shard_bits)
+
+    @F.pandas_udf("boolean")
+    def member(hosts: pd.Series) -> pd.Series:
+        place, known = pd.factorize(hosts)
+        return pd.Series(cascade.lists([[".".join(parts[i:]) for i in range(max(0, len(parts) - labels), len(parts))] if host else [] for host in known for parts in [host.split(".")]])[place])
+
+    parsed = parsed.withColumn("listed", member("host"))
     rule, action = matching_rule(F.col("host"), F.col("path"), rules)
     parsed = parsed.withColumns({"rule": rule, "verdict": F.coalesce(action, F.when(F.col("listed"), "block").otherwise("allow"))})
-    release(spark, folder)
+    release(spark, f"{folder}/universe")
     return parsed
