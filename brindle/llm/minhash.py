@@ -12,7 +12,9 @@
    components are estimated (blockwise; large buckets are split among tasks) and
    those that survive are confirmed on the full sets, in the task that met them.
    Pairs inside a component can't change the result, so nothing is lost by leaving
-   them out; only links that join components leave a task.
+   them out; only links that join components leave a task. In a large bucket the
+   blocks of its largest component meet those of the other rows only, so where one
+   component holds nearly all rows, as in a group of copies, each is sent once.
 
 With the values below a pair at similarity 0.75 shares no band with probability
 2e-5, at 0.8 with probability 1e-7.
@@ -33,7 +35,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, release, stored, window_hashes, word_hashes, work_dir
+from .common import mix64, release, small_batches, stored, window_hashes, word_hashes, work_dir
 from .components import components
 
 SHINGLE = 5
@@ -123,7 +125,7 @@ def digest(shingles: np.ndarray, k: int) -> int:
 
 
 def sketch(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """Per row: id, n_shingles, key_a and key_b (the set's digest), bands, planes."""
+    """Per row: id, mark (a hash of the text), n_shingles, key_a and key_b (the set's digest), bands, planes."""
 
     @F.pandas_udf("n_shingles long, key_a long, key_b long, bands array<long>, planes array<long>")
     def run(texts: pd.Series) -> pd.DataFrame:
@@ -139,7 +141,7 @@ def sketch(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
         # Not by way of floats, which would round keys beside a null.
         return out.assign(n_shingles=out["n_shingles"].astype("int64"), key_a=out["key_a"].astype("Int64"), key_b=out["key_b"].astype("Int64"))
 
-    return docs.select(docs[id_col].alias("id"), run(docs[text_col]).alias("s")).select("id", "s.*")
+    return docs.select(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("mark"), run(docs[text_col]).alias("s")).select("id", "mark", "s.*")
 
 
 def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -258,11 +260,29 @@ def _across(rows: DataFrame, texts: DataFrame) -> DataFrame:
     return in_order(met).mapInPandas(_joining, "a long, b long")
 
 
-def _first_digest(texts: pd.Series) -> pd.Series:
-    out = []
-    for begin in range(0, len(texts), 128):
-        out += [digest(s, 1) if s.size else None for s in shingle_sets(texts.iloc[begin : begin + 128].tolist())]
-    return pd.Series(out, dtype="Int64")
+def _blocks(rows: DataFrame) -> DataFrame:
+    """*rows* of large buckets, each as often as blocks of other rows are to be met."""
+    sizes = rows.groupBy("band", "component").agg(F.count("*").alias("size"))
+    main = sizes.groupBy("band").agg(F.sum("size").alias("rows"), F.max(F.struct("size", "component")).alias("main"))
+    main = main.select("band", F.col("main.component").alias("main"), F.col("main.size").alias("inner"), (F.col("rows") - F.col("main.size")).alias("outer"))
+
+    def blocks(number: str) -> Column:
+        return F.greatest(F.lit(1), F.ceil(F.col(number) * 2 / BUCKET_ROWS)).cast("int")
+
+    met = rows.join(main, "band").withColumn("in_main", F.col("component") == F.col("main"))
+    met = met.withColumn("block", F.pmod(F.xxhash64("id"), F.when(F.col("in_main"), blocks("inner")).otherwise(blocks("outer"))).cast("int"))
+    met = met.where(F.col("outer") > 0)
+    columns = ["grp", "band", "side", "id", "component", "planes", "bands"]
+    # The largest component's blocks and all others meet.
+    others = F.when(F.col("in_main"), blocks("outer")).otherwise(blocks("inner"))
+    across = met.withColumn("other", F.explode(F.sequence(F.lit(0), others - 1)))
+    across = across.withColumn("grp", F.when(F.col("in_main"), F.xxhash64("band", F.lit("main"), "block", "other")).otherwise(F.xxhash64("band", F.lit("main"), "other", "block")))
+    across = across.withColumn("side", F.when(F.col("in_main"), 1).otherwise(2)).select(*columns)
+    # The others' blocks meet one another and each itself.
+    among = met.where("not in_main").withColumn("other", F.explode(F.sequence(F.lit(0), blocks("outer") - 1)))
+    side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2)
+    among = among.withColumn("grp", F.xxhash64("band", F.least("block", "other"), F.greatest("block", "other"))).withColumn("side", side).select(*columns)
+    return across.unionByName(among)
 
 
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -272,10 +292,13 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     """
     spark = docs.sparkSession
     folder = work_dir(spark)
-    sketches = stored(sketch(docs, text_col, id_col), f"{folder}/sketches")
+    with small_batches(spark):
+        sketches = stored(sketch(docs, text_col, id_col), f"{folder}/sketches")
     real = sketches.where("n_shingles > 0 and id is not null")
-    # Classes of equal sets, known by their digest: an id may have texts of several classes.
-    classes = stored(real.groupBy("key_a", "key_b").agg(F.min("id").alias("rep")), f"{folder}/classes")
+    # Classes of equal sets, known by their digest, each with the text that stands for it:
+    # an id may have texts of several classes.
+    classes = real.groupBy("key_a", "key_b").agg(F.min(F.struct("id", "mark")).alias("least"))
+    classes = stored(classes.select("key_a", "key_b", F.col("least.id").alias("rep"), F.col("least.mark").alias("mark")), f"{folder}/classes")
     heads = real.join(classes, (real["key_a"] == classes["key_a"]) & (real["key_b"] == classes["key_b"]) & (real["id"] == classes["rep"]), "left_semi")
     heads = stored(heads.select(F.col("key_a").alias("id"), "bands", "planes").dropDuplicates(["id"]), f"{folder}/heads")
     rows = heads.select("id", F.explode("bands").alias("band"))
@@ -290,13 +313,13 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     best = stars.groupBy("id").agg(F.max_by("leader", F.struct("agree", "leader")).alias("leader"))
     pairs = stored(best.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct(), f"{folder}/stars")
     # Texts of all classes that share a bucket; nothing else is looked at again.
-    key = F.pandas_udf(_first_digest, "long")
-    involved = classes.select(F.col("key_a").alias("class"), "rep").join(members.select(F.col("id").alias("class")).distinct(), "class", "left_semi")
-    texts = docs.select(docs[id_col].alias("rep"), docs[text_col].alias("text")).join(involved.select("rep").distinct(), "rep", "left_semi")
-    texts = texts.withColumn("class", key("text")).join(involved, ["rep", "class"], "left_semi").select(F.col("class").alias("id"), "text").dropDuplicates(["id"])
+    involved = classes.select(F.col("key_a").alias("id"), "rep", "mark").join(members.select("id").distinct(), "id", "left_semi")
+    texts = docs.select(docs[id_col].alias("rep"), F.xxhash64(docs[text_col]).alias("mark"), docs[text_col].alias("text"))
+    texts = texts.join(involved, ["rep", "mark"]).select("id", "text").dropDuplicates(["id"])
     texts = stored(texts, f"{folder}/texts")
     release(spark)
-    links = stored(_linked(pairs, texts), f"{folder}/links1")
+    with small_batches(spark):
+        links = stored(_linked(pairs, texts), f"{folder}/links1")
     found = stored(components(links, f"{folder}/components1"), f"{folder}/found1")
 
     # What is left: pairs of different components in one bucket.
@@ -305,13 +328,10 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     left = placed.join(open_, "band").join(heads, "id").select("id", "band", "n", "component", "planes", "bands")
     small = left.where(F.col("n") <= BUCKET_ROWS).select(F.col("band").alias("grp"), "band", F.lit(0).alias("side"), "id", "component", "planes", "bands")
     # Large buckets: blocks of rows meet in pairs, so no task holds more than two.
-    split = left.where(F.col("n") > BUCKET_ROWS).withColumn("blocks", F.ceil(F.col("n") * 2 / BUCKET_ROWS).cast("int"))
-    split = split.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2)
-    split = split.select(F.xxhash64("band", F.least("block", "other"), F.greatest("block", "other")).alias("grp"), "band", side.alias("side"), "id", "component", "planes", "bands")
+    split = _blocks(left.where(F.col("n") > BUCKET_ROWS))
     rest = stored(small.unionByName(split), f"{folder}/rest")
-    more = stored(_across(rest, texts), f"{folder}/links2")
+    with small_batches(spark):
+        more = stored(_across(rest, texts), f"{folder}/links2")
     if not more.isEmpty():
         found = stored(components(links.unionByName(more), f"{folder}/components2"), f"{folder}/found2")
 

@@ -77,8 +77,15 @@ def test_near_duplicates_of_ids_with_several_texts(spark, monkeypatch, bucket_ro
     assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in out.collect()) == want
 
 
-def test_large_buckets_are_split(spark, docs, monkeypatch):
-    monkeypatch.setattr(minhash, "BUCKET_ROWS", 3)
+@pytest.mark.parametrize("bucket_rows", [1, 3, 8])
+def test_large_buckets_are_split(spark, docs, monkeypatch, bucket_rows):
+    """Pairs around the threshold: of one template, of different lengths, at exactly 75 per cent."""
+    monkeypatch.setattr(minhash, "BUCKET_ROWS", bucket_rows)
+    rng = random.Random(3)
+    template = [f"t{i}" for i in range(60)]
+    docs = docs + [(5000 + k, " ".join(template + [f"{k // 2}u{i}" for i in range(9 + k % 9)])) for k in range(60)]
+    docs += [(6000 + k, " ".join(template[: 20 + k])) for k in range(40)] + [(7000 + k, edited(rng, " ".join(template), k % 3)) for k in range(20)]
+    docs += [(8000, " ".join(f"e{i}" for i in range(7 + 4))), (8001, " ".join([*(f"e{i}" for i in range(6 + 4)), "f"])), (8002, " ".join(f"e{i}" for i in range(28 + 4)))]
     groups, _ = near_groups(docs)
     assert {r.doc_id: r.component_id for r in minhash.near_duplicates(frame(spark, docs)).collect() if r.doc_id is not None} == groups
 
