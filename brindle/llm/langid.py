@@ -31,11 +31,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, stored, work_dir
+from .common import ascii_lower, small_batches, stored, work_dir
 
 UND = "und"
 BUCKET_BITS = 16
-#: The classifier is fitted on at most this many labelled rows of each language.
+#: The classifier is fitted on at most this many different labelled texts of each language.
 FIT_ROWS = 1000
 EFFECTIVE = 60
 #: Pseudo-counts by which a host leans on its suffix, and a suffix on the whole.
@@ -80,11 +80,31 @@ class TextModel:
         return total * (min(len(found), EFFECTIVE) / len(found))
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", fit_rows: int = FIT_ROWS) -> TextModel:
-    """Fit on the *fit_rows* rows of each language whose hashed ids come first; whole texts."""
-    rows = labelled.select(labelled[id_col].alias("id"), labelled[lang_col].alias("lang"), labelled[text_col].alias("text")).where("lang is not null and text is not null")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    sample = rows.select("id", "lang").withColumn("place", F.row_number().over(order)).where(F.col("place") <= fit_rows).select("id", "lang").distinct()
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS) -> TextModel:
+    """Fit on *fit_rows* different texts of each language, those whose hashes come first; whole texts.
+
+    Texts are first cut down by a bound on their hash that follows from the number of
+    rows of the language; where too few different ones lie below it, it is raised. So
+    no task reads more than a few times *fit_rows* rows of a language. The table of a
+    language has 2**BUCKET_BITS numbers on the driver, so languages must be few.
+    """
+    folder = work_dir(labelled.sparkSession)
+    rows = labelled.select(labelled[lang_col].alias("lang"), labelled[text_col].alias("text")).where("lang is not null and text is not null")
+    rows = rows.withColumn("hash", F.shiftrightunsigned(F.xxhash64("text"), 1))
+    number = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    bounds = {lang: min(1.0, 2 * fit_rows / n) for lang, n in number.items()}
+    chosen, round_ = None, 0
+    while bounds:
+        below = F.create_map(*[F.lit(x) for lang, share in bounds.items() for x in (lang, min(2**63 - 1, int(share * 2**63)))])
+        near = rows.where(F.col("hash") <= F.element_at(below, F.col("lang"))).groupBy("lang", "hash").agg(F.first("text").alias("text"))
+        near = stored(near, f"{folder}/near{round_}")
+        found = {r["lang"]: r["n"] for r in near.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+        enough = [lang for lang, share in bounds.items() if share >= 1 or found.get(lang, 0) >= fit_rows]
+        if enough:
+            ready = near.where(F.col("lang").isin(enough))
+            chosen = ready if chosen is None else chosen.unionByName(ready)
+        bounds = {lang: min(1.0, share * 16) for lang, share in bounds.items() if lang not in enough}
+        round_ += 1
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[str, np.ndarray] = {}
@@ -96,8 +116,10 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
             bucket = np.flatnonzero(counts)
             yield pd.DataFrame({"lang": lang, "bucket": bucket, "n": counts[bucket]})
 
-    # The sample's ids are few by FIT_ROWS, so they may travel to every task.
-    chosen = rows.join(F.broadcast(sample), ["id", "lang"]).select("lang", "text")
+    if chosen is None:
+        return TextModel([UND], np.full((1 << BUCKET_BITS, 1), -np.log(1 << BUCKET_BITS), np.float32))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("hash"))
+    chosen = chosen.withColumn("place", first).where(F.col("place") <= fit_rows).select("lang", "text")
     counted = chosen.mapInPandas(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(counted["lang"].unique())
     table = np.full((1 << BUCKET_BITS, len(langs) + 1), -np.log(1 << BUCKET_BITS))
@@ -147,7 +169,8 @@ def identify(records: DataFrame, model: TextModel, carry: list[str]) -> DataFram
     def score(texts: pd.Series) -> pd.Series:
         return pd.Series([shared.value.score(t) for t in texts])
 
-    scored = stored(records.select(*carry, "declared", "suffix", "host", score("text").alias("logs")), f"{folder}/scored")
+    with small_batches(spark):
+        scored = stored(records.select(*carry, "declared", "suffix", "host", score("text").alias("logs")), f"{folder}/scored")
     # What the texts alone say; rows without text say nothing.
     said = scored.where(F.exists("logs", lambda x: x != 0.0)).withColumn("p", _softmax(F.col("logs")))
 
