@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import os
+import re
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -180,6 +181,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD_LOWER = _FOLD.copy()
 _FOLD_LOWER[65:91] += 32
+_BLANK_BYTE = re.compile(rb"[\x20\x09-\x0d]")
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 
@@ -206,6 +208,15 @@ LONG_WORD = 256
 CHUNK_BYTES = 1 << 20
 
 
+def cut_at_blanks(text: bytes) -> list[bytes]:
+    """*text* in pieces of about CHUNK_BYTES that cut no word."""
+    pieces, start = [], 0
+    while len(text) - start > CHUNK_BYTES and (blank := _BLANK_BYTE.search(text, start + CHUNK_BYTES)):
+        pieces.append(text[start : blank.start()])
+        start = blank.start()
+    return [*pieces, text[start:]]
+
+
 def word_hashes(texts: list[bytes], lower: bool) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of *texts*, and the number of words of each.
 
@@ -216,6 +227,13 @@ def word_hashes(texts: list[bytes], lower: bool) -> tuple[np.ndarray, np.ndarray
     counts = np.zeros(len(texts), np.int64)
     start = 0
     while start < len(texts):
+        if len(texts[start]) > CHUNK_BYTES:  # alone, piece by piece
+            for piece in cut_at_blanks(texts[start]):
+                h, n = _word_hashes([piece], lower)
+                hashes.append(h)
+                counts[start] += n[0]
+            start += 1
+            continue
         end, size = start, 0
         while end < len(texts) and (end == start or size + len(texts[end]) < CHUNK_BYTES):
             size += len(texts[end]) + 1
@@ -227,14 +245,16 @@ def word_hashes(texts: list[bytes], lower: bool) -> tuple[np.ndarray, np.ndarray
     return (np.concatenate(hashes) if hashes else np.empty(0, np.uint64)), counts
 
 
-def _word_hashes(texts: list[bytes], lower: bool) -> tuple[np.ndarray, np.ndarray]:
-    raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+def word_places(texts: list[bytes], lower: bool) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts as one, where words begin and end in it, their hashes, and the words of each text."""
+    joined = b"\n".join(texts) + b"\n"
+    raw = np.frombuffer(joined, np.uint8)
     blank = _BLANK[raw]
     edges = np.diff(blank.view(np.int8), prepend=np.int8(1))
     begins = np.flatnonzero(edges == -1)
     ends = np.flatnonzero(edges == 1)
     if begins.size == 0:
-        return np.empty(0, np.uint64), np.zeros(len(texts), np.int64)
+        return joined, begins, begins, np.empty(0, np.uint64), np.zeros(len(texts), np.int64)
     if lower:
         raw = _FOLD_LOWER[raw]
     up, down = _power_tables(len(raw) + 1)
@@ -245,7 +265,11 @@ def _word_hashes(texts: list[bytes], lower: bool) -> tuple[np.ndarray, np.ndarra
     for i in np.flatnonzero(ends - begins > LONG_WORD).tolist():
         hashes[i] = xxhash.xxh3_64_intdigest(raw[begins[i] : ends[i]].tobytes())
     bounds = np.cumsum([len(t) + 1 for t in texts])
-    return hashes, np.diff(np.searchsorted(begins, bounds), prepend=0)
+    return joined, begins, ends, hashes, np.diff(np.searchsorted(begins, bounds), prepend=0)
+
+
+def _word_hashes(texts: list[bytes], lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    return word_places(texts, lower)[3:]
 
 
 def window_hashes(words: np.ndarray, width: int) -> np.ndarray:

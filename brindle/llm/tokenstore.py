@@ -18,7 +18,8 @@ their own by each task attempt and count only once the manifest names them; what
 a lost or repeated attempt leaves is never read.
 
 Edge cases: a null or empty text is one end id; a null document id comes first;
-equal ids are ordered by text; an empty table writes no file.
+equal ids are ordered by a hash of the text and then by the text, so the rows of one
+id are dealt to several tasks; an empty table writes no file.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import filesystem, stored, work_dir
+from .common import cut_at_blanks, filesystem, stored, word_places, work_dir
 
 MAGIC = b"BRNDPLN1"
 BLOCK_IDS = 1 << 16
@@ -45,6 +46,8 @@ BLOCK_IDS = 1 << 16
 SHARD_IDS = 1 << 26
 #: Words whose ids a worker keeps; twice as many at most are held.
 CACHE_WORDS = 300_000
+#: Text that is encoded at once; each byte takes some 40 bytes of memory.
+BATCH_BYTES = (2 << 20) - 4096
 
 
 # ------------------------------------------------------------------ encoding
@@ -55,9 +58,11 @@ class WordEncoder:
 
     For tokenizers whose normaliser and pre-tokeniser act within words and drop
     white space (as ``word_bpe_49k.json``): the ids of a text are then the ids of
-    its words, one after the other.
+    its words, one after the other. Others are refused.
     """
 
+    PROBES = ("ab cd", " ab\t cd. Ef\n", "a,b 12 don't", "É x")
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -66,25 +71,56 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.bytes = np.zeros(len(self.ends_word), np.int64)
+        for t, i in vocabulary.items():
+            self.bytes[i] = len(t.removesuffix("</w>"))  # a character of a token is a byte
+        for text in self.PROBES:
+            parts = [self.tokenizer.encode(w, add_special_tokens=False).ids for w in text.split()]
+            if self.tokenizer.encode(text, add_special_tokens=False).ids != [i for ids in parts for i in ids]:
+                raise ValueError(f"{path}: the ids of a text are not those of its words")
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        words = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-        every = set().union(*words)
-        missing = every.difference(self.young)
+        """The ids of each text."""
+        out, held, size = [], [], 0
+        for text in [t.encode("utf-8", "surrogatepass") for t in texts]:
+            if held and size + len(text) > BATCH_BYTES:
+                out += self._encode(held)
+                held, size = [], 0
+            if len(text) > BATCH_BYTES:
+                out.append(np.concatenate([self._encode([piece])[0] for piece in cut_at_blanks(text)]))
+            else:
+                held.append(text)
+                size += len(text)
+        return out + self._encode(held) if held else out
+
+    def _encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Each different word of the texts is looked up once; which words are the same
+        is told by 64 bits of hash."""
+        joined, begins, ends, hashes, counts = word_places(texts, lower=False)
+        if not len(hashes):
+            return [np.empty(0, "<u4")] * len(texts)
+        _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        words = [joined[a:b] for a, b in zip(begins[first].tolist(), ends[first].tolist(), strict=True)]
+        missing = [w for w in words if w not in self.young]
         if len(self.young) + len(missing) > CACHE_WORDS:
-            self.old, self.young, missing = self.young, {}, every
-        known = missing.intersection(self.old)
-        self.young |= {w: self.old[w] for w in known}
-        self._learn(list(missing.difference(known)))
-        get = self.young.__getitem__
-        return [np.frombuffer(b"".join(map(get, ws)), "<u4") for ws in words]
+            self.old, self.young, missing = self.young, {}, words
+        if self.old:
+            self.young |= {w: self.old[w] for w in missing if w in self.old}
+        self._learn([w for w in missing if w not in self.young])
+        found = list(map(self.young.__getitem__, words))
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        starts = np.cumsum(lengths) - lengths
+        each = lengths[which]
+        upto = np.cumsum(each)
+        ids = np.frombuffer(b"".join(found), "<u4")[np.arange(upto[-1]) + np.repeat(starts[which] - (upto - each), each)]
+        return np.split(ids, np.append(0, upto)[np.cumsum(counts)[:-1]])
 
     def _learn(self, words: list[bytes]) -> None:
         """Encode words: those of letters, with a mark behind or not, many in one text,
-        which is cut where ids end words; all others, and texts whose cuts don't add up,
-        word by word."""
+        which is cut where ids end words; all others, texts whose cuts don't add up, and
+        words whose ids don't stand for as many bytes, word by word."""
         texts = [w.decode("utf-8", "surrogatepass") for w in words]
         ends = [1 if t.isalpha() else 2 if t[-1] in ".,;:!?" and t[:-1].isalpha() else 0 for t in texts]
         plain = [i for i, n in enumerate(ends) if n]
@@ -97,9 +133,14 @@ class WordEncoder:
             if len(stops) != upto[-1]:
                 single += chunk
                 continue
-            cuts, raw, at = (stops[upto - 1] * 4).tolist(), ids.tobytes(), 0
-            for i, cut in zip(chunk, cuts, strict=True):
-                self.young[words[i]] = raw[at:cut]
+            cut = stops[upto - 1]
+            sizes = np.diff(np.append(0, np.cumsum(self.bytes[ids])[cut - 1]))
+            cuts, raw, at = (cut * 4).tolist(), ids.tobytes(), 0
+            for i, cut, n in zip(chunk, cuts, sizes.tolist(), strict=True):
+                if n == len(words[i]):
+                    self.young[words[i]] = raw[at:cut]
+                else:
+                    single.append(i)
                 at = cut
         for begin in range(0, len(single), 4096):
             part = single[begin : begin + 4096]
@@ -238,8 +279,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, unit: str =
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task, writer, made = TaskContext.get().partitionId(), None, []
         for batch in batches:
-            for begin in range(0, len(batch), 256):
-                part = batch.iloc[begin : begin + 256]
+            for begin in range(0, len(batch), 1024):
+                part = batch.iloc[begin : begin + 1024]
                 for doc_id, none, ids in zip(part["id"].tolist(), part["none"].tolist(), encoder(tokenizer).encode(part["text"].tolist()), strict=True):
                     writer = writer or ShardWriter(folder, unit)
                     writer.add(None if none else doc_id, np.append(ids, np.uint32(end_id)))
@@ -253,7 +294,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, unit: str =
 
     key = docs[id_col].cast("long")
     rows = docs.select(key.isNull().alias("none"), F.coalesce(key, F.lit(-(1 << 63))).alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange("id").sortWithinPartitions(F.desc("none"), "id", "text")
+    order = [F.col("id"), F.desc("none"), F.xxhash64("text")]  # a null id is the least of all longs
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text")
     manifest = ordered.mapInPandas(run, "name string, n_docs long, n_ids long, bytes long, shard long")
     manifest = stored(manifest, f"{work_dir(docs.sparkSession)}/manifest")
     return manifest.withColumn("start", _running_start())

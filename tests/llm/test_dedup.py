@@ -6,7 +6,7 @@ import random
 
 import numpy as np
 import pytest
-from brindle.llm import decontam, minhash, substring
+from brindle.llm import common, decontam, minhash, substring
 from brindle.llm.common import window_hashes, word_hashes, work_dir
 from brindle.llm.components import components
 
@@ -242,6 +242,15 @@ def test_repeats_in_groups_of_buckets_and_of_many_equal_rows(spark, docs, monkey
             assert (r.n_words, r.n_removed, r.kept_text) == (len(own), len(own) - len(kept), " ".join(kept))
 
 
+def test_long_texts_are_hashed_piece_by_piece(monkeypatch):
+    texts = [b"a bb  ccc " * 50, b"", b" " * 300, b"x" * 200 + b" y", b"one two"]
+    whole = word_hashes(texts, lower=False)
+    monkeypatch.setattr(common, "CHUNK_BYTES", 16)
+    pieces = word_hashes(texts, lower=False)
+    assert (whole[0] == pieces[0]).all() and whole[1].tolist() == pieces[1].tolist() == [150, 0, 0, 2, 2]
+    assert [b"".join(common.cut_at_blanks(t)) for t in texts] == texts
+
+
 def test_long_words_of_equal_power_sums_differ():
     """Thue-Morse words of 1024 letters and their complements, alone and in windows."""
     bits = [bin(i).count("1") % 2 for i in range(4096)]

@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
 import pytest
-from brindle.llm import decontam, minhash, mixing, tokenstore
+import xxhash
+from brindle.llm import common, decontam, minhash, mixing, tokenstore
 from brindle.llm.common import read_table
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -69,6 +73,39 @@ def test_mix(spark, block_rows):
     assert mixing.mix(docs.where("false")).collect() == []
 
 
+def test_mix_of_many_equal_rows(spark, monkeypatch):
+    """Equal rows are units of their own, wherever they lie, and no block holds them all."""
+    monkeypatch.setattr(common, "CHUNK_COPIES", 7)
+    rows = [(None, "a", "one two three")] * 300 + [(5, "a", "x " * 9)] * 50 + [(i, "b", "w " * (i % 40)) for i in range(100, 300)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = mixing.mix(docs, block_rows=16).collect()
+    assert len(got) == len(rows) and sum(r.doc_id is None for r in got) == 300 and sum(r.doc_id == 5 for r in got) == 50
+    for total in {r.source_size for r in got}:
+        own = [r for r in got if r.source_size == total]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= max(0.01 * own[0].target, 10)
+    assert sorted(map(str, mixing.mix(docs.repartition(7), block_rows=16).collect())) == sorted(map(str, got))
+    taken = mixing.take(docs.withColumns({"__key": F.lit(1), "Chunk": F.lit(2), "a.b": F.lit(3)}), block_rows=16)
+    assert taken.columns == ["doc_id", "source", "text", "__key", "Chunk", "a.b"]
+    assert abs(sum(len(words(r.text)) for r in taken.collect() if r.source == "a") - next(r.target for r in got if r.doc_id == 5)) < 20
+
+
+def test_row_keys_tell_rows_apart(spark):
+    rows = [("a", None), (None, "a"), ("a", "a"), (None, None), ("", None), ("ab", ""), ("a", "b")]
+    df = spark.createDataFrame([*rows, rows[0]], "x string, y string")
+    assert df.select(common.row_key(df)).distinct().count() == len(rows)
+    assert common.unused(["__Key", "__key_"], "__key") == "__key__"
+
+
+def test_scratch_folders_go(spark):
+    with common.scratch(spark):
+        inside, kept = common.work_dir(spark), common.work_dir(spark, keep=True)
+        for folder in (inside, kept):
+            common.stored(spark.range(3), folder)
+    assert spark.read.parquet(kept).count() == 3
+    with pytest.raises(AnalysisException):
+        spark.read.parquet(inside)
+
+
 def test_flight_keeps_both_totals():
     rng = random.Random(1)
     sizes = [float(rng.randrange(1, 5000)) for _ in range(2000)]
@@ -129,12 +166,42 @@ TEXTS = [None, "", "Plain words, twice: plain words.", "É é ́x H̱x. H̱. IT'
 
 def test_word_encoder_equals_whole_texts(monkeypatch):
     tokenizer = Tokenizer.from_file(PATH)
-    for limit in (300_000, 4):
+    for limit, size in ((300_000, 3 << 20), (4, 3 << 20), (4, 20)):
         monkeypatch.setattr(tokenstore, "CACHE_WORDS", limit)
+        monkeypatch.setattr(tokenstore, "BATCH_BYTES", size)
+        monkeypatch.setattr(common, "CHUNK_BYTES", size)
         encoder = tokenstore.WordEncoder(PATH)
         for _ in range(2):
-            for text in TEXTS[1:]:
-                assert encoder.encode([text])[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+            every = encoder.encode(TEXTS[1:])
+            for text, ids in zip(TEXTS[1:], every, strict=True):
+                assert ids.tolist() == encoder.encode([text])[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_words_cut_wrongly_are_encoded_alone(monkeypatch):
+    """Ends of words that are miscounted in opposite directions within one text."""
+    encoder = tokenstore.WordEncoder(PATH)
+    plain = ["alpha", "beta", "gamma", "delta,", "epsilon"]
+    ids = encoder.tokenizer.encode("alpha", add_special_tokens=False).ids
+    encoder.ends_word[ids[-1]] = False  # as if alpha had no end, and its end fell to another word
+    inner = encoder.tokenizer.encode("epsilon", add_special_tokens=False).ids
+    if len(inner) > 1:
+        encoder.ends_word[inner[0]] = True
+    tokenizer = Tokenizer.from_file(PATH)
+    assert encoder.encode([" ".join(plain)])[0].tolist() == tokenizer.encode(" ".join(plain), add_special_tokens=False).ids
+
+
+def test_tokenizers_that_see_more_than_words_are_refused():
+    others = [p for p in public_tokenizers.__path__ for p in sorted(Path(p).glob("*.json"))]
+    refused = 0
+    for path in others:
+        try:
+            encoder = tokenstore.WordEncoder(str(path))
+        except Exception:
+            refused += 1
+            continue
+        for text in ("Plain words, twice: plain  words.", "x 12 é"):
+            assert encoder.encode([text])[0].tolist() == Tokenizer.from_file(str(path)).encode(text, add_special_tokens=False).ids
+    assert len(others) > 1 and 0 < refused < len(others)
 
 
 def test_token_files(spark):
@@ -144,7 +211,7 @@ def test_token_files(spark):
     manifest = tokenstore.write(docs, folder, PATH, 2)
     out = tokenstore.documents(manifest, folder).collect()
     tokenizer = Tokenizer.from_file(PATH)
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, np.uint64(xxhash.xxh64_intdigest(r[1] or "", 42)).astype(np.int64)))
     want, start = [], 0
     for i, text, _ in order:
         ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
@@ -191,6 +258,26 @@ def test_pipeline_edges(spark, sf_dir):
     assert docs.count() > 20
 
 
+def test_pipeline_keeps_columns_of_clashing_names(spark, sf_dir):
+    """Columns called as the stages' own stay as they are; one version of an id stays and is judged."""
+    text = read_table(spark, sf_dir, "documents").where("lang = 'en' and length(text) > 800").first().text
+    other = read_table(spark, sf_dir, "documents").where("lang = 'de' and length(text) > 800").first().text
+    rows = [(1, text, "en", "s", 1), (5, text, "en", "s", 2), (5, other, "de", "s", 3), (9, other, "de", "s", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({"__key": F.lit("mine"), "__version": F.lit(7), "declared": F.lit("xx"), "component_id": F.col("n_chars")})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns
+        got = sorted(tuple(r) for r in out.select("doc_id", "n_chars", "__key", "__version", "declared").collect())
+        if name == "near_dedup":
+            first = 2 if text < other else 3
+            want = {1, 4} if first == 2 else {1, 3}
+            assert {r[1] for r in got} == want
+        elif name != "mix":
+            assert [r[1] for r in got] == [1, 2, 3, 4]
+        assert all(r[2:] == ("mine", 7, "xx") for r in got)
+
+
 def test_pipeline_run(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir).toPandas().sort_values("start")
     assert (out["start"].to_numpy() == np.concatenate([[0], out["n_tokens"].cumsum()[:-1]])).all() and out["doc_id"].is_monotonic_increasing
