@@ -38,14 +38,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut_at_blanks, filesystem, stored, word_places, work_dir
+from .common import cut_at_blanks, filesystem, small_batches, stored, word_places, work_dir
 
 MAGIC = b"BRNDPLN1"
 BLOCK_IDS = 1 << 16
 #: A task begins another file after this many ids.
 SHARD_IDS = 1 << 26
 #: Words whose ids a worker keeps; twice as many at most are held.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 #: Text that is encoded at once; each byte takes some 40 bytes of memory.
 BATCH_BYTES = (2 << 20) - 4096
 
@@ -297,7 +297,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, unit: str =
     order = [F.col("id"), F.desc("none"), F.xxhash64("text")]  # a null id is the least of all longs
     ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text")
     manifest = ordered.mapInPandas(run, "name string, n_docs long, n_ids long, bytes long, shard long")
-    manifest = stored(manifest, f"{work_dir(docs.sparkSession)}/manifest")
+    with small_batches(docs.sparkSession):
+        manifest = stored(manifest, f"{work_dir(docs.sparkSession)}/manifest")
     return manifest.withColumn("start", _running_start())
 
 
