@@ -38,30 +38,158 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut_at_blanks, filesystem, small_batches, stored, word_places, work_dir
+from .common import cut_at_blanks, filesystem, mix64, small_batches, stored, work_dir
 
 MAGIC = b"BRNDPLN1"
 BLOCK_IDS = 1 << 16
 #: A task begins another file after this many ids.
 SHARD_IDS = 1 << 26
-#: Words whose ids a worker keeps; twice as many at most are held.
-CACHE_WORDS = 200_000
-#: Text that is encoded at once; each byte takes some 40 bytes of memory.
-BATCH_BYTES = (2 << 20) - 4096
+#: Pieces of text whose ids a worker keeps; those of one batch may come on top.
+CACHE_WORDS = 1 << 20
+#: Bytes of longer pieces that a worker keeps with their ids.
+CACHE_LONG_BYTES = 8 << 20
+#: Text that is cut into pieces at once, and pieces that are looked up at once, which bounds memory.
+BATCH_BYTES = 1 << 20
+PIECES = 1 << 17
 
 
 # ------------------------------------------------------------------ encoding
 
 
+def _kind(byte: int) -> int:
+    """0 blank, 1 ASCII letter, 2 apostrophe, 3 other ASCII, 4 beyond ASCII."""
+    if byte in b"\x20\x09\x0a\x0b\x0c\x0d":
+        return 0
+    return 4 if byte > 127 else 1 if chr(byte).isalpha() else 2 if byte == 39 else 3
+
+
+_KINDS = bytes(map(_kind, range(256)))
+#: Kinds side by side, as 8 * left + right, that are always cut: a letter and what is
+#: none, but not behind an apostrophe ('s is one piece).
+_CUTS = {8 + 2, 8 + 3, 24 + 1}
+
+
+def _edges(cuts: set[int]) -> tuple[bytes, bytes]:
+    """For pairs of kinds: whether a piece begins, or ends, between them."""
+    begins = bytes(bool(p & 7 and (not p >> 3 or p in cuts)) for p in range(256))
+    return begins, bytes(bool(p >> 3 and (not p & 7 or p in cuts)) for p in range(256))
+
+
+_WORD_EDGES, _PIECE_EDGES = _edges(set()), _edges(_CUTS)
+#: The lowest bytes of a long, by their number.
+_LOW = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+#: Longer pieces are kept by themselves.
+SHORT = 15
+
+
+def _each_byte(value: int) -> np.uint64:
+    return np.uint64(value * 0x0101010101010101)
+
+
+def _lower(x: np.ndarray) -> np.ndarray:
+    """Longs of eight ASCII characters with A-Z lower-cased."""
+    return x | (((x + _each_byte(128 - 65)) & ~(x + _each_byte(128 - 91)) & _each_byte(128)) >> np.uint64(2))
+
+
+class IdTable:
+    """Ids by key: two longs that hold a piece's bytes and length, so that none is mistaken for another.
+
+    Open addressing in arrays, some 60 bytes a piece.
+    """
+
+    def __init__(self):
+        self.n = self.n_ids = 0
+        self.slots = np.full(1 << 12, -1, np.int32)
+        self.first, self.second = np.empty(0, np.uint64), np.empty(0, np.uint64)
+        self.start, self.count = np.empty(0, np.int64), np.empty(0, np.int32)
+        self.again = np.empty(0, bool)
+        self.ids = np.empty(0, "<u4")
+
+    def _home(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        return (mix64(first ^ (second * np.uint64(0x9E3779B97F4A7C15))) & np.uint64(len(self.slots) - 1)).astype(np.int64)
+
+    def find(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """The numbers of the keys' entries, -1 for those that are not there."""
+        if not self.n:
+            return np.full(len(first), -1, np.int32)
+        at = self._home(first, second)
+        entry = self.slots[at]
+        left = np.flatnonzero((entry >= 0) & ((self.first[entry] != first) | (self.second[entry] != second)))
+        at = at[left]
+        while len(left):
+            at = (at + 1) & (len(self.slots) - 1)
+            entry[left] = e = self.slots[at]
+            on = (e >= 0) & ((self.first[e] != first[left]) | (self.second[e] != second[left]))
+            left, at = left[on], at[on]
+        return entry
+
+    def room(self, n_ids: int) -> np.ndarray:
+        """The ids, with space behind those in use."""
+        if self.n_ids + n_ids > len(self.ids):
+            self.ids = np.append(self.ids[: self.n_ids], np.empty((self.n_ids + n_ids) // 4 + n_ids, "<u4"))
+        return self.ids
+
+    def add(self, first: np.ndarray, second: np.ndarray, ids: list[bytes]) -> None:
+        """Different keys that are not there yet, with their ids."""
+        n = self.n + len(first)
+        if n > len(self.first):
+            more = n + n // 4 - self.n
+            for name in ("first", "second", "start", "count", "again"):
+                old = getattr(self, name)[: self.n]
+                setattr(self, name, np.append(old, np.zeros(more, old.dtype)))
+        count = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        total = int(count.sum())
+        self.room(total)[self.n_ids : self.n_ids + total] = np.frombuffer(b"".join(ids), "<u4")
+        self.first[self.n : n], self.second[self.n : n], self.count[self.n : n] = first, second, count
+        self.start[self.n : n] = self.n_ids + np.cumsum(count) - count
+        self.again[self.n : n] = False
+        begin, self.n, self.n_ids = self.n, n, self.n_ids + total
+        if 2 * n > len(self.slots):
+            self.slots = np.full(1 << (2 * n).bit_length(), -1, np.int32)
+            begin = 0
+        self._place(begin)
+
+    def _place(self, begin: int) -> None:
+        left = np.arange(begin, self.n, dtype=np.int32)
+        at = self._home(self.first[begin : self.n], self.second[begin : self.n])
+        while len(left):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = left[free]  # of several one stays
+            on = self.slots[at] != left
+            left, at = left[on], (at[on] + 1) & (len(self.slots) - 1)
+
+    def forget(self, most: int) -> None:
+        """Keep entries that were met again since the last time, *most* at most."""
+        kept = np.flatnonzero(self.again[: self.n])[:most]
+        ids = [self.ids[a : a + n].tobytes() for a, n in zip(self.start[kept].tolist(), self.count[kept].tolist(), strict=True)]
+        first, second = self.first[kept], self.second[kept]
+        self.n = self.n_ids = 0
+        self.slots[:] = -1
+        self.add(first, second, ids)
+
+
 class WordEncoder:
-    """Encodes texts with the tokenizers library, each different word once.
+    """Encodes texts with the tokenizers library, each different piece once while it is kept.
 
     For tokenizers whose normaliser and pre-tokeniser act within words and drop
     white space (as ``word_bpe_49k.json``): the ids of a text are then the ids of
-    its words, one after the other. Others are refused.
+    its words, one after the other. Others are refused. With that file's own
+    normaliser and pre-tokeniser, words are cut further between an ASCII letter
+    and another ASCII character, where each of them cuts, and pieces of ASCII
+    alone are kept in lower case; not in a batch that holds an added token, in
+    whatever case, which is found before them.
     """
 
     PROBES = ("ab cd", " ab\t cd. Ef\n", "a,b 12 don't", "É x")
+    NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+    PIECES = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+    PRE_TOKENIZER = {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": PIECES}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    }
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -78,8 +206,14 @@ class WordEncoder:
             parts = [self.tokenizer.encode(w, add_special_tokens=False).ids for w in text.split()]
             if self.tokenizer.encode(text, add_special_tokens=False).ids != [i for ids in parts for i in ids]:
                 raise ValueError(f"{path}: the ids of a text are not those of its words")
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        with open(path, encoding="utf-8") as file:
+            made = json.load(file)
+        added = made.get("added_tokens") or []
+        self.added = [t["content"].encode().lower() for t in added]
+        self.cuts = made.get("normalizer") == self.NORMALIZER and made.get("pre_tokenizer") == self.PRE_TOKENIZER and not any(t["normalized"] for t in added)
+        self.table = IdTable()
+        self.long: dict[bytes, bytes] = {}
+        self.long_bytes = 0
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
@@ -96,31 +230,73 @@ class WordEncoder:
         return out + self._encode(held) if held else out
 
     def _encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        """Each different word of the texts is looked up once; which words are the same
-        is told by 64 bits of hash."""
-        joined, begins, ends, hashes, counts = word_places(texts, lower=False)
-        if not len(hashes):
+        joined = b"\n" + b"\n".join(texts) + b"\n" * 17  # a long can be read from each piece's ninth byte on
+        low = joined.lower()
+        cuts = self.cuts and not any(t in low for t in self.added)
+        kinds = np.frombuffer(joined.translate(_KINDS), np.uint8)
+        sides = (kinds[:-1] * np.uint8(8) + kinds[1:]).tobytes()
+        begins, ends = (np.flatnonzero(np.frombuffer(sides.translate(t), bool)) + 1 for t in (_PIECE_EDGES if cuts else _WORD_EDGES))
+        if not len(begins):
             return [np.empty(0, "<u4")] * len(texts)
-        _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        words = [joined[a:b] for a, b in zip(begins[first].tolist(), ends[first].tolist(), strict=True)]
-        missing = [w for w in words if w not in self.young]
-        if len(self.young) + len(missing) > CACHE_WORDS:
-            self.old, self.young, missing = self.young, {}, words
-        if self.old:
-            self.young |= {w: self.old[w] for w in missing if w in self.old}
-        self._learn([w for w in missing if w not in self.young])
-        found = list(map(self.young.__getitem__, words))
-        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        starts = np.cumsum(lengths) - lengths
-        each = lengths[which]
+        parts = [self._ids(joined, begins[i : i + PIECES], ends[i : i + PIECES], cuts) for i in range(0, len(begins), PIECES)]
+        upto = np.append(0, np.cumsum(np.concatenate([each for _, each in parts])))
+        bounds = np.cumsum([len(t) + 1 for t in texts[:-1]]) + 1
+        return np.split(np.concatenate([ids for ids, _ in parts]), upto[np.searchsorted(begins, bounds)])
+
+    def _ids(self, joined: bytes, begins: np.ndarray, ends: np.ndarray, fold: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the pieces, and the number of each one's."""
+        table, sizes = self.table, ends - begins
+        if table.n > CACHE_WORDS:
+            table.forget(CACHE_WORDS // 2)
+        start, each = np.empty(len(begins), np.int64), np.empty(len(begins), np.int64)
+        short, long = np.flatnonzero(sizes <= SHORT), np.flatnonzero(sizes > SHORT)
+        start[short], each[short] = self._short(joined, begins[short], sizes[short], fold)
+        if len(long):
+            found = self._long([joined[a:b] for a, b in zip(begins[long].tolist(), ends[long].tolist(), strict=True)])
+            each[long] = n = np.fromiter(map(len, found), np.int64, len(found)) // 4
+            upto = table.n_ids + np.cumsum(n)  # behind the kept ids, for now
+            start[long] = upto - n
+            table.room(int(n.sum()))[table.n_ids : upto[-1]] = np.frombuffer(b"".join(found), "<u4")
         upto = np.cumsum(each)
-        ids = np.frombuffer(b"".join(found), "<u4")[np.arange(upto[-1]) + np.repeat(starts[which] - (upto - each), each)]
-        return np.split(ids, np.append(0, upto)[np.cumsum(counts)[:-1]])
-
-    def _learn(self, words: list[bytes]) -> None:
-        """Encode words: those of letters, with a mark behind or not, many in one text,
+        return table.ids[np.arange(upto[-1]) + np.repeat(start - (upto - each), each)], each
+
+    def _short(self, joined: bytes, begins: np.ndarray, sizes: np.ndarray, fold: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Where in the table's ids those of the pieces are, and how many."""
+        longs = np.ndarray(len(joined) - 7, "<u8", joined, strides=(1,))
+        first = longs[begins] & _LOW[np.minimum(sizes, 8)]
+        second = np.zeros(len(begins), np.uint64)
+        more = np.flatnonzero(sizes > 8)
+        second[more] = longs[begins[more] + 8] & _LOW[sizes[more] - 8]
+        if fold:
+            ascii_only = (first | second) & _each_byte(128) == 0
+            first, second = np.where(ascii_only, _lower(first), first), np.where(ascii_only, _lower(second), second)
+        second |= sizes.astype(np.uint64) << np.uint64(56)
+        entry = self.table.find(first, second)
+        known = entry >= 0
+        self.table.again[entry[known]] = True
+        missing = np.flatnonzero(~known)
+        if len(missing):
+            order = missing[np.lexsort((second[missing], first[missing]))]
+            a, b = first[order], second[order]
+            new = order[np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))]
+            words = [joined[x : x + n] for x, n in zip(begins[new].tolist(), sizes[new].tolist(), strict=True)]
+            self.table.add(first[new], second[new], self._learn(words))
+            entry[missing] = self.table.find(first[missing], second[missing])
+        return self.table.start[entry], self.table.count[entry].astype(np.int64)
+
+    def _long(self, words: list[bytes]) -> list[bytes]:
+        if self.long_bytes > CACHE_LONG_BYTES:
+            self.long, self.long_bytes = {}, 0
+        missing = [w for w in dict.fromkeys(words) if w not in self.long]
+        self.long |= zip(missing, found := self._learn(missing), strict=True)
+        self.long_bytes += sum(map(len, missing)) + sum(map(len, found)) + 200 * len(missing)
+        return list(map(self.long.__getitem__, words))
+
+    def _learn(self, words: list[bytes]) -> list[bytes]:
+        """The ids of words: those of letters, with a mark behind or not, many in one text,
         which is cut where ids end words; all others, texts whose cuts don't add up, and
         words whose ids don't stand for as many bytes, word by word."""
+        found = [b""] * len(words)
         texts = [w.decode("utf-8", "surrogatepass") for w in words]
         ends = [1 if t.isalpha() else 2 if t[-1] in ".,;:!?" and t[:-1].isalpha() else 0 for t in texts]
         plain = [i for i, n in enumerate(ends) if n]
@@ -138,14 +314,15 @@ class WordEncoder:
             cuts, raw, at = (cut * 4).tolist(), ids.tobytes(), 0
             for i, cut, n in zip(chunk, cuts, sizes.tolist(), strict=True):
                 if n == len(words[i]):
-                    self.young[words[i]] = raw[at:cut]
+                    found[i] = raw[at:cut]
                 else:
                     single.append(i)
                 at = cut
         for begin in range(0, len(single), 4096):
             part = single[begin : begin + 4096]
             for i, e in zip(part, self.tokenizer.encode_batch_fast([texts[i] for i in part], add_special_tokens=False), strict=True):
-                self.young[words[i]] = np.array(e.ids, "<u4").tobytes()
+                found[i] = np.array(e.ids, "<u4").tobytes()
+        return found
 
 
 _encoders: dict[str, WordEncoder] = {}

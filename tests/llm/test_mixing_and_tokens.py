@@ -190,6 +190,55 @@ def test_words_cut_wrongly_are_encoded_alone(monkeypatch):
     assert encoder.encode([" ".join(plain)])[0].tolist() == tokenizer.encode(" ".join(plain), add_special_tokens=False).ids
 
 
+PIECES = ["a", "The", "é", "E\u0301", "h", "H", "\u0331", "=", "\u0338", "<", "'", "'s", "'LL", "’", "“", ".", "...", "12", "٣", "ẞ", "İ", "K", "Σ", "ς", "\0", "\x1c", "\x85", " ", "\n", "漢字", "😀", "_", "-", "$", "x" * 15, "y" * 16, "ab" * 9, "<|", "|>", "<|endoftext|>", "<|EndOfText|>", "startoftext"]
+
+
+@given(st.lists(st.lists(st.sampled_from(PIECES) | st.text(max_size=3), max_size=14).map("".join), min_size=1, max_size=4))
+@settings(max_examples=400, deadline=None)
+def test_pieces_equal_whole_texts(texts):
+    """Cuts beside ASCII letters, lower case and added tokens change no id."""
+    encoder = tokenstore.encoder(PATH)  # keeps the pieces of the texts before
+    for size in (1 << 17, 3):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(tokenstore, "PIECES", size)
+            for text, ids in zip(texts, encoder.encode(texts), strict=True):
+                assert ids.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def learnt(encoder, monkeypatch):
+    """The pieces that go to the tokenizer."""
+    found, learn = [], encoder._learn
+    monkeypatch.setattr(encoder, "_learn", lambda words: (found.extend(words), learn(words))[1])
+    return found
+
+
+def test_a_piece_is_encoded_once(monkeypatch):
+    encoder = tokenstore.WordEncoder(PATH)
+    found = learnt(encoder, monkeypatch)
+    encoder.encode(["Plain plain, (PLAIN) plain. plain's"])
+    assert sorted(w.decode().lower() for w in found) == ["'s", "(", ")", ",", ".", "plain"]
+    found.clear()
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = [a + b + c + d for a in letters for b in letters for c in letters for d in letters]  # more than a dictionary had room for
+    text = " ".join(words)
+    first = encoder.encode([text])[0]
+    assert len(found) == len(words) == 26**4
+    assert (encoder.encode([text.title()])[0] == first).all() and len(found) == len(words)
+
+
+def test_table_keeps_what_was_met_again(monkeypatch):
+    monkeypatch.setattr(tokenstore, "CACHE_WORDS", 100)
+    encoder = tokenstore.WordEncoder(PATH)
+    often, rng = [f"{c}ften" for c in "abcdefghij"], random.Random(3)
+    for _ in range(60):
+        text = " ".join(often + ["".join(rng.choices("abcdefgh", k=rng.randint(1, 20))) for _ in range(30)])
+        assert encoder.encode([text])[0].tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+        assert encoder.table.n <= 100 + 40
+    found = learnt(encoder, monkeypatch)
+    encoder.encode([" ".join(often)])
+    assert not found
+
+
 def test_tokenizers_that_see_more_than_words_are_refused():
     others = [p for p in public_tokenizers.__path__ for p in sorted(Path(p).glob("*.json"))]
     refused = 0
